@@ -1,0 +1,65 @@
+"""Items, messages, observations and events derived from the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest import fixed
+from palimpsest.functions.tokens import est_tokens
+from palimpsest.plans.policy import KEYS
+
+ITEM_COLUMNS = [
+    *KEYS, "line_index", "kind", "est_tokens", "elidable_bytes", "elidable_parts", "label",
+    "summary", "uuid", "parent_uuid", "tool_use_ids", "payload_sha256",
+]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_items(spark: SparkSession, sf_dir: str, constant_label: bool = False) -> DataFrame:
+    """Documents as tool results: a language is a session, the document id is the line."""
+    size = F.octet_length("text")
+    no_text = F.lit(None).cast("string")
+    label = F.lit("read") if constant_label else F.col("source")
+    return table(spark, sf_dir, "documents").select(
+        F.lit(fixed.BRANCH).alias("provider"),
+        F.col("lang").alias("session_id"),
+        F.lit("documents").alias("path"),
+        F.col("doc_id").alias("line_index"),
+        F.lit("tool_result").alias("kind"),
+        est_tokens("text").alias("est_tokens"),
+        F.when(size > fixed.MIN_ELIDABLE_BYTES, size.cast("long")).alias("elidable_bytes"),
+        F.lit(1).alias("elidable_parts"),
+        label.alias("label"),
+        F.concat("source", F.lit(" => "), F.substring("text", 1, 60)).alias("summary"),
+        no_text.alias("uuid"),
+        no_text.alias("parent_uuid"),
+        F.array(F.concat(F.lit("tool-"), F.col("doc_id").cast("string"))).alias("tool_use_ids"),
+        F.sha2("text", 256).alias("payload_sha256"),
+    )
+
+
+def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as items: long assistant turns are elidable."""
+    size = F.octet_length("text")
+    long_reply = (F.col("role") == "assistant") & (size > fixed.MIN_ELIDABLE_BYTES)
+    no_text = F.lit(None).cast("string")
+    return table(spark, sf_dir, "conversations").select(
+        F.lit(fixed.WINDOW).alias("provider"),
+        F.col("conv_id").cast("string").alias("session_id"),
+        F.lit("conversations").alias("path"),
+        F.col("turn").alias("line_index"),
+        F.col("role").alias("kind"),
+        est_tokens("text").alias("est_tokens"),
+        F.when(long_reply, size.cast("long")).alias("elidable_bytes"),
+        F.lit(1).alias("elidable_parts"),
+        F.col("role").alias("label"),
+        F.substring("text", 1, 200).alias("summary"),
+        no_text.alias("uuid"),
+        no_text.alias("parent_uuid"),
+        F.expr("cast(array() as array<string>)").alias("tool_use_ids"),
+        F.sha2("text", 256).alias("payload_sha256"),
+    )
