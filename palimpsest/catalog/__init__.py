@@ -1,6 +1,6 @@
 """The registered queries, by domain."""
 
-from palimpsest.catalog import planning  # noqa: F401
+from palimpsest.catalog import evidence, observing, planning  # noqa: F401
 from palimpsest.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -151,6 +151,15 @@ def last_known(
     )
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections refer to without repeating it.
+
+    The optimizer copies a projected expression to every place that uses it, but not one
+    that an explode of a single element yields.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each key in ``order``.
 

@@ -12,6 +12,7 @@ from palimpsest.functions.tokens import elision_savings, is_elidable, tokens_of_
 from palimpsest.operators.ordered import exclusive_sums, line_levels
 from palimpsest.plans.base import Plans, protected_cut
 from palimpsest.plans.policy import KEYS
+from palimpsest.session import cut
 
 PLAN = KEYS + ["strategy"]
 EDIT_COLUMNS = {
@@ -55,6 +56,7 @@ def validate_plans(
         if name not in edits.columns and kind is not None:
             default = F.lit(0) if name == "edit_index" else F.lit(None)
             edits = edits.withColumn(name, default.cast(kind))
+    edits = cut(edits, "edits")
     scope = items.join(edits.select(*KEYS).distinct(), KEYS, "left_semi")
     findings = []
 
@@ -63,10 +65,13 @@ def validate_plans(
             rows.groupBy(*PLAN).agg(F.count("*").alias("rows")).withColumn("reason", F.lit(reason))
         )
 
-    lines = scope.groupBy(*KEYS, "line_index").agg(
-        F.count("*").alias("_copies"),
-        F.first("est_tokens").alias("est_tokens"),
-        F.first("elidable_bytes").alias("elidable_bytes"),
+    lines = cut(
+        scope.groupBy(*KEYS, "line_index").agg(
+            F.count("*").alias("_copies"),
+            F.first("est_tokens").alias("est_tokens"),
+            F.first("elidable_bytes").alias("elidable_bytes"),
+        ),
+        "lines",
     )
     sizes = lines.groupBy(*KEYS).agg(
         F.sum("_copies").alias("_items"), F.max("_copies").alias("_most")
@@ -103,7 +108,7 @@ def validate_plans(
     )
     found(joined.filter(F.col("_copies").isNull()), "unknown edit index")
     tail = protected_cut(
-        scope.filter(is_elidable()).select(*KEYS, "line_index"), sessions, keep
+        lines.filter(is_elidable()).select(*KEYS, "line_index"), sessions, keep
     )
     guarded = joined.filter(F.col("_copies").isNotNull()).join(tail, KEYS, "left")
     found(
@@ -173,6 +178,7 @@ def plan_from_calls(
     numbers are positions in the session.  A session with an invalid call, a deferral or
     an inadmissible plan gets none; ``fallback`` plans serve sessions without calls.
     """
+    calls = cut(calls, "calls")
     scope = items.join(calls.select(*KEYS).distinct(), KEYS, "left_semi")
     placed = exclusive_sums(
         scope.select(
@@ -243,7 +249,10 @@ def plan_from_calls(
         card.alias("card"),
         tokens_of_bytes(F.octet_length("digest")).alias("_added"),
     )
-    edits = elided.unionByName(digests, allowMissingColumns=True).join(refused, KEYS, "left_anti")
+    edits = cut(
+        elided.unionByName(digests, allowMissingColumns=True).join(refused, KEYS, "left_anti"),
+        "calls",
+    )
     problems = validate_plans(items, edits, sessions, keep).select(*KEYS).distinct()
     edits = edits.join(problems, KEYS, "left_anti")
     sums = edits.groupBy(*KEYS, "strategy").agg(

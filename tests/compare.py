@@ -74,6 +74,6 @@ if __name__ == "__main__":
             print(f"{'ok  ' if ok else 'rows'} {n} {rows} rows {time.time() - t:.1f}s", flush=True)
         except Exception as error:
             bad += 1
-            text = str(error) if isinstance(error, AssertionError) else traceback.format_exc()[-2500:]
+            text = str(error) if isinstance(error, AssertionError) else str(error)[:700] + "".join(traceback.format_tb(error.__traceback__)[-3:])[:900]
             print(f"FAIL {n} {time.time() - t:.1f}s {text}", flush=True)
     print("failures:", bad)
