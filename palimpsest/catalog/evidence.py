@@ -199,13 +199,13 @@ def log_lines(spark, sf_dir):
         }
     )
     body = F.to_json(F.struct(*[c for c in marked.columns if c != "log_order"]))
-    return marked.select(
+    return cut(marked.select(
         F.when(order % 2 == 0, 1).otherwise(0).alias("generation"),
         F.col("log_order").alias("line_number"),
         F.when(order % 37 == 0, F.substring(body, 1, 60))
         .when(order % 41 == 0, F.concat(body, F.repeat(F.lit(" "), 17_000)))
         .otherwise(body).alias("raw"),
-    )
+    ), "log")
 
 
 REASONS_SQL = """

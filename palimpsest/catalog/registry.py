@@ -21,6 +21,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(tune(spark), sf_dir)
 
+        run.__module__ = fn.__module__
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest import fixed
+from palimpsest.functions import variant as v
 from palimpsest.operators.evidence import valid_event
-from palimpsest.operators.ordered import once
+from palimpsest.session import cut
 
 _LONG, _TEXT = T.LongType(), T.StringType()
 
@@ -66,46 +67,46 @@ def diagnose(raw: DataFrame, schema_name: str = fixed.EVENT_SCHEMA) -> DataFrame
     """
     big = F.octet_length("raw") > fixed.MAX_LOG_LINE_BYTES
     kept = raw.filter(big | (F.trim(F.regexp_replace("raw", r"[\t\r\f\n]", " ")) != ""))
-    read = F.struct(
-        big.alias("big"),
+    read = kept.select(
+        "generation", "line_number", big.alias("big"),
         F.when(~big, F.try_parse_json("raw")).alias("json"),
         F.when(~big, F.from_json("raw", EVENT_TYPE)).alias("event"),
     )
-    parsed = once(kept, "_read", read).select(
-        "generation", "line_number", "raw", F.col("_read.big").alias("_big"),
-        F.col("_read.json").alias("_json"), F.col("_read.event").alias("event"),
+    json = F.col("json")
+    # One table of parsed lines feeds the rows, the coverage and the histogram.
+    parsed = cut(
+        read.select(
+            "generation", "line_number", "big", "event",
+            json.isNotNull().alias("is_json"),
+            v.is_object(json).alias("is_object"),
+            v.string(json, "$.schema").alias("named"),
+            v.count(json, "$.ts").alias("ts"),
+            *[v.string(json, f"$.{n}").alias(n) for n in ("provider", "session_id", "action", "outcome")],
+        ),
+        "log",
     )
-
-    def text(path: str) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get("_json", path, "variant"))
-        return F.when(kind == "STRING", F.try_variant_get("_json", path, "string"))
-
-    is_object = F.startswith(F.schema_of_variant("_json"), F.lit("OBJECT"))
-    provider = text("$.provider")
-    known = provider.isin(fixed.BRANCH, fixed.WINDOW)
-    session = text("$.session_id")
+    known = F.col("provider").isin(fixed.BRANCH, fixed.WINDOW)
+    session = F.col("session_id")
     reason = (
-        F.when(F.col("_big"), "oversized_record")
-        .when(F.col("_json").isNull(), "invalid_json")
-        .when(~is_object, "invalid_fields")
-        .when(F.coalesce(text("$.schema") != schema_name, F.lit(False)), "unsupported_schema")
+        F.when(F.col("big"), "oversized_record")
+        .when(~F.col("is_json"), "invalid_json")
+        .when(~F.col("is_object"), "invalid_fields")
+        .when(F.coalesce(F.col("named") != schema_name, F.lit(False)), "unsupported_schema")
         .when(F.coalesce(~known, F.lit(False)), "unsupported_provider")
         .when(~F.coalesce(valid_event(schema_name, "event."), F.lit(False)), "invalid_fields")
     )
-    judged = once(parsed, "_reason", F.struct(reason.alias("reason")))
-    return judged.select(
+    return parsed.select(
         "generation",
         "line_number",
         F.struct((-F.col("generation")).alias("g"), F.col("line_number").alias("l")).alias("log_order"),
-        "raw",
         "event",
-        F.try_variant_get("_json", "$.ts", "long").alias("ts"),
-        F.when(provider.isNotNull(), F.when(known, provider).otherwise("unsupported")).alias("provider"),
+        "ts",
+        F.when(F.col("provider").isNotNull(), F.when(known, F.col("provider")).otherwise("unsupported")).alias("provider"),
         F.when(session.rlike(r"^[A-Za-z0-9._-]{1,256}$"), session).alias("session_id"),
-        F.when(text("$.action").isin(fixed.EVENT_ACTIONS), text("$.action")).alias("action"),
-        F.when(text("$.outcome").isin(fixed.EVENT_OUTCOMES), text("$.outcome")).alias("outcome"),
-        F.col("_reason.reason").alias("reason"),
-        (~F.col("_big") & is_object).alias("readable"),
+        F.when(F.col("action").isin(fixed.EVENT_ACTIONS), F.col("action")).alias("action"),
+        F.when(F.col("outcome").isin(fixed.EVENT_OUTCOMES), F.col("outcome")).alias("outcome"),
+        reason.alias("reason"),
+        (F.col("is_json") & F.col("is_object")).alias("readable"),
     )
 
 
@@ -141,7 +142,7 @@ def event_diagnostics(
         match = match & F.coalesce(F.col("ts") >= since_ts, F.lit(False))
     marked = rows.withColumn("_match", match)
     shown = marked.filter("_match").orderBy(F.col("log_order").desc()).limit(tail).drop(
-        "_match", "raw", "event"
+        "_match", "event"
     )
     coverage = marked.groupBy().agg(
         F.count("*").alias("scanned_records"),

@@ -63,7 +63,7 @@ if __name__ == "__main__":
     from palimpsest.session import local_session
 
     sf = f"/root/testdata/{sys.argv[1]}"
-    names = [n for n in QUERIES if len(sys.argv) < 3 or any(a in n for a in sys.argv[2:])]
+    names = [n for n in QUERIES if len(sys.argv) < 3 or any(a in n or QUERIES[n].__module__.endswith("." + a) for a in sys.argv[2:])]
     spark = local_session()
     con = duck(sf)
     bad = 0
