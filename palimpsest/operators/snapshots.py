@@ -84,8 +84,10 @@ def occurrences(text: str | Column, query: str) -> Column:
 
 def string_values(rec: Column) -> Column:
     """All string values of a JSON document given as text, decoded, keys left out."""
-    # Values are the strings not followed by a colon.
-    quoted = F.regexp_extract_all(rec, F.lit(r'("(?:[^"\\]|\\.)*")(?!\s*:)'), 1)
+    quoted = F.filter(
+        F.regexp_extract_all(rec, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), 0),
+        lambda q: ~F.endswith(q, F.lit(":")),
+    )
     return F.transform(quoted, lambda q: F.try_variant_get(F.try_parse_json(q), "$", "string"))
 
 
