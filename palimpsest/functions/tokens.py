@@ -48,4 +48,4 @@ def image_tokens(width: str | Column, height: str | Column) -> Column:
     """Tokens of an image of known size; the fixed estimate when the size is unknown."""
     w, h = _col(width), _col(height)
     cells = F.ceil(w / 28) * F.ceil(h / 28)
-    return F.coalesce(F.least(F.lit(4784), cells), F.lit(1568)).cast("long")
+    return F.when(cells.isNotNull(), F.least(F.lit(4784), cells)).otherwise(1568).cast("long")

@@ -311,7 +311,8 @@ def render_card(card: str | Column, marker: str = fixed.CARD_MARKER) -> Column:
 def parse_card(text: str | Column, marker: str = fixed.CARD_MARKER) -> Column:
     """A rendered card as a struct; NULL when the text does not start with the marker."""
     text = F.col(text) if isinstance(text, str) else text
-    rows = F.slice(F.split(text, "\r?\n"), 2, 2147483647)
+    whole = F.split(text, r"\r?\n")
+    rows = F.slice(whole, F.lit(2), F.size(whole) - 1)
 
     def entries(prefix: str) -> Column:
         found = F.filter(rows, lambda r: F.startswith(r, F.lit(prefix)))

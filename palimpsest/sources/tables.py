@@ -295,3 +295,119 @@ def compaction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(applied, (k % 40) % 21).alias("retention_lexical"),
         F.col("event_id").alias("log_order"),
     )
+
+
+def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as branch-dialect transcript lines.
+
+    Turn t is line 2t.  A reply calls a tool, and line 2t+1 is the result, with the
+    reply's text as payload.  In every fifth conversation the first prompt is
+    followed by an abandoned reply.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    seen = previous(
+        turns, ["conv_id"], [F.floor(F.col("turn") / 8192).cast("long"), F.col("turn")],
+        {"before": F.col("role")},
+    )
+    place = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    back = F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
+    parent = F.when(F.col("before") == "assistant", F.concat(F.lit("r-"), back)).when(
+        F.col("before").isNotNull(), F.concat(F.lit("t-"), back)
+    )
+    here, call = F.concat(F.lit("t-"), place), F.concat(F.lit("call-"), place)
+    reply = F.col("role") == "assistant"
+    session = F.col("conv_id").cast("string")
+
+    def record(kind, uuid, parent, message, **extra):
+        return F.to_json(F.struct(
+            kind.alias("type"), uuid.alias("uuid"), parent.alias("parentUuid"), session.alias("sessionId"),
+            F.lit("2026-01-02T03:04:05.678Z").alias("timestamp"), *[c.alias(n) for n, c in extra.items()],
+            message.alias("message"),
+        ))
+
+    size = F.octet_length("text").cast("long")
+    said = record(
+        F.col("role"), here, parent, F.struct(F.col("text").alias("content"), F.col("role").alias("role"))
+    )
+    block = F.concat(
+        F.lit('{"content":['),
+        F.to_json(F.struct(F.col("text").alias("text"), F.lit("text").alias("type"))),
+        F.lit(","),
+        F.to_json(F.struct(
+            call.alias("id"), F.struct(F.concat(F.lit("/"), place).alias("file_path")).alias("input"),
+            F.lit("Read").alias("name"), F.lit("tool_use").alias("type"),
+        )),
+        F.lit('],"id":"m-'), place, F.lit('","role":"assistant","stop_reason":"end_turn","usage":{"cache_creation_input_tokens":0,"cache_read_input_tokens":0,"input_tokens":'),
+        size.cast("string"), F.lit(',"output_tokens":'), (F.col("turn") + 1).cast("string"), F.lit("}}"),
+    )
+    answered = F.concat(
+        F.lit('{"type":"assistant","uuid":"'), here, F.lit('"'),
+        F.coalesce(F.concat(F.lit(',"parentUuid":"'), parent, F.lit('"')), F.lit("")),
+        F.lit(',"requestId":"q-'), place, F.lit('","sessionId":"'), session,
+        F.lit('","timestamp":"2026-01-02T03:04:05.678Z","message":'), block, F.lit("}"),
+    )
+    result = record(
+        F.lit("user"), F.concat(F.lit("r-"), place), here,
+        F.struct(
+            F.array(F.struct(
+                F.col("text").alias("content"), call.alias("tool_use_id"), F.lit("tool_result").alias("type")
+            )).alias("content"),
+            F.lit("user").alias("role"),
+        ),
+    )
+    dead = record(
+        F.lit("assistant"), F.concat(F.lit("d-"), place), here,
+        F.struct(F.lit("Abandoned.").alias("content"), F.lit("assistant").alias("role")),
+    )
+    lines = F.array(
+        F.when(reply, answered).otherwise(said),
+        F.when(reply, result).when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0), dead),
+    )
+    rows = seen.select("conv_id", "turn", F.posexplode(lines).alias("n", "raw")).filter(
+        F.col("raw").isNotNull()
+    )
+    return rows.select(
+        F.lit(fixed.BRANCH).alias("provider"), F.col("conv_id").cast("string").alias("session_id"),
+        F.lit("conversations").alias("path"), (F.col("turn") * 2 + F.col("n")).alias("line_index"), "raw",
+    )
+
+
+def conversation_window_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as window-dialect lines: a message per turn, a tool call and output per reply."""
+    turns = table(spark, sf_dir, "conversations")
+    place = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    call = F.concat(F.lit("c-"), place)
+
+    def item(n: int, payload):
+        return F.to_json(F.struct(
+            F.lit("response_item").alias("type"), (F.col("turn") * 4 + n).alias("ordinal"),
+            payload.alias("payload"),
+        ))
+
+    reply = F.col("role") == "assistant"
+    kind = F.when(reply, "output_text").otherwise("input_text")
+    message = item(0, F.struct(
+        F.lit("message").alias("type"), F.col("role").alias("role"),
+        F.array(F.struct(kind.alias("type"), F.col("text").alias("text"))).alias("content"),
+    ))
+    asked = item(1, F.struct(
+        F.lit("function_call").alias("type"), call.alias("call_id"), F.lit("shell").alias("name"),
+        F.lit("{}").alias("arguments"),
+    ))
+    told = item(2, F.struct(
+        F.lit("function_call_output").alias("type"), call.alias("call_id"), F.col("text").alias("output"),
+    ))
+    packed = F.to_json(F.struct(
+        F.lit("compacted").alias("type"), (F.col("turn") * 4 + 3).alias("ordinal"),
+        F.struct(F.array(F.struct(
+            F.lit("message").alias("type"), F.lit("user").alias("role"), F.lit("Go on.").alias("content")
+        )).alias("replacement_history")).alias("payload"),
+    ))
+    cut_here = (F.col("conv_id") % 4 == 0) & (F.col("turn") == 1)
+    lines = F.array(message, F.when(reply, asked), F.when(reply, told), F.when(cut_here, packed))
+    return turns.select("conv_id", "turn", F.posexplode(lines).alias("n", "raw")).filter(
+        F.col("raw").isNotNull()
+    ).select(
+        F.lit(fixed.WINDOW).alias("provider"), F.col("conv_id").cast("string").alias("session_id"),
+        F.lit("conversations").alias("path"), (F.col("turn") * 4 + F.col("n")).alias("line_index"), "raw",
+    )
