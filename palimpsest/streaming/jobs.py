@@ -140,8 +140,8 @@ class Advisories:
         return not (recent and tokens - shown_tokens < GROWTH_TOKENS)
 
 
-def throttle_advisories(stream: DataFrame) -> DataFrame:
-    """Over-trigger prompts with ``shown``.  State is dropped a day after a session's last prompt.
+def throttle_advisories(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Over-trigger prompts with ``shown``.  A session's state ends a day after its last prompt.
 
     ``stream``: provider, session_id, observed_at_ms, context_tokens.
     """
@@ -161,9 +161,11 @@ def throttle_advisories(stream: DataFrame) -> DataFrame:
                 last = (int(ms), int(tokens))
             shown.append(show)
         state.update(last)
-        state.setTimeoutDuration(86_400_000)
+        ends = int(rows["observed_at_ms"].max()) + 86_400_000
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(shown=shown)[["provider", "session_id", "observed_at_ms", "context_tokens", "shown"]]
 
-    return stream.groupBy("provider", "session_id").applyInPandasWithState(
-        step, Advisories.SCHEMA, Advisories.STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    timed = stream.withColumn("observed_at", F.timestamp_millis("observed_at_ms")).withWatermark("observed_at", late)
+    return timed.groupBy("provider", "session_id").applyInPandasWithState(
+        step, Advisories.SCHEMA, Advisories.STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
