@@ -161,7 +161,7 @@ def _(spark, sf_dir):
 
 @query(
     "message_history",
-    "SELECT conv_id::VARCHAR AS session_id, count(*) + count(*) FILTER (role = 'assistant') + count(*) FILTER (role <> 'assistant' AND conv_id % 5 = 0 AND turn = 0) AS messages FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id",
+    "SELECT conv_id::VARCHAR AS session_id, count(*) FILTER (role IN ('user', 'assistant')) + count(*) FILTER (role = 'assistant') + count(*) FILTER (role <> 'assistant' AND conv_id % 5 = 0 AND turn = 0) AS messages FROM conversations GROUP BY conv_id",
 )
 def _(spark, sf_dir):
     from palimpsest.operators.requests import message_history
