@@ -423,3 +423,21 @@ def _(spark, sf_dir):
         F.when(F.col("k") % 7 != 0, ms).alias("completed_ms"), (F.col("k") * 100).alias("interval_secs"),
     )
     return rows.select("event_id", mo.checkpoint_status("a", 1_707_000_000_000).alias("status"))
+
+
+@query(
+    "completion_reasons",
+    E + """, s AS (SELECT user_id, k % 20 AS stream, bool_or(event_type = 'error' AND k % 3 = 0) AS f, bool_or(event_type = 'click' AND k % 4 = 0) AS r, bool_or(event_type = 'signup' AND k % 5 = 0) AS u,
+  bool_or(event_type = 'purchase') AS t, bool_or(event_type = 'view') AS p FROM e GROUP BY 1, 2)
+SELECT user_id, stream, CASE WHEN f THEN 'provider_error' WHEN r THEN 'provider_refused' WHEN u THEN 'parser_uncertain' WHEN t THEN 'completed' WHEN p THEN 'missing_terminal' ELSE 'parser_uncertain' END AS reason FROM s""",
+)
+def _(spark, sf_dir):
+    from palimpsest.sources.observations import completion_reason
+
+    kind, k = F.col("event_type"), F.col("k")
+    rows = events(spark, sf_dir).select(
+        "user_id", (k % 20).alias("stream"), ((kind == "error") & (k % 3 == 0)).alias("failed"),
+        ((kind == "click") & (k % 4 == 0)).alias("refused"), ((kind == "signup") & (k % 5 == 0)).alias("uncertain"),
+        (kind == "purchase").alias("terminal"), (kind == "view").alias("protocol"),
+    )
+    return completion_reason(rows, ["user_id", "stream"])

@@ -452,3 +452,29 @@ def import_native(records: DataFrame, key: bytes = b"") -> tuple[DataFrame, Data
     ).filter(F.col("_a") != F.col("_b")).select("event_id")
     rows = stored.drop("envelope", "digest").dropDuplicates(["event_id"])
     return rows, unsupported, changed
+
+
+def completion_reason(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Finish reason of each response stream from the marks on its events.
+
+    ``events``: keys, failed, refused, uncertain, terminal, protocol.  An error outranks a
+    refusal, then a doubtful parse, then the end; a stream that spoke and never ended
+    lacks its terminal.
+    """
+    marks = ("failed", "refused", "uncertain", "terminal", "protocol")
+    seen = events.groupBy(*keys).agg(*[F.bool_or(m).alias(m) for m in marks])
+    reason = (
+        F.when(F.col("failed"), "provider_error")
+        .when(F.col("refused"), "provider_refused")
+        .when(F.col("uncertain"), "parser_uncertain")
+        .when(F.col("terminal"), "completed")
+        .when(F.col("protocol"), "missing_terminal")
+        .otherwise("parser_uncertain")
+    )
+    return seen.select(*keys, reason.alias("reason"))
+
+
+def write_plan_csv(plans: DataFrame, path: str) -> None:
+    """One row per session and strategy as CSV, absent values as empty cells."""
+    flat = [c for c in plans.columns if c != "card"]
+    plans.select(*flat).write.mode("errorifexists").option("header", True).option("nullValue", "").csv(path)
