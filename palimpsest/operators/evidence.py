@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from palimpsest import fixed
 from palimpsest.functions.hashes import is_sha256
-from palimpsest.operators.ordered import newest
 
 PAIR = [
     "provider", "session_id", "source_identity_sha256", "snapshot_before_sha256",

@@ -7,10 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest import fixed
 from palimpsest.functions import variant as v
 from palimpsest.functions.hashes import position_digest
-from palimpsest.operators.ordered import exclusive_sums, last_known, line_levels, newest, previous
+from palimpsest.operators.ordered import exclusive_sums, line_levels, newest, previous
 from palimpsest.plans.policy import KEYS
 from palimpsest.session import cut
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest import fixed
 from palimpsest.functions.hashes import is_sha256
 from palimpsest.operators.ordered import newest
 from palimpsest.plans.card import parse_card

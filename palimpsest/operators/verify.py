@@ -12,7 +12,7 @@ from palimpsest.functions import variant as v
 from palimpsest.operators.normalize import (
     CALL_KINDS, LINE, OUTPUT_KINDS, call_id, live_lines, supported_item, window_entries,
 )
-from palimpsest.operators.ordered import last_known, line_levels, newest
+from palimpsest.operators.ordered import line_levels, newest
 from palimpsest.plans.policy import KEYS
 from palimpsest.session import cut
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest import fixed
-from palimpsest.operators.observe import COHORT, requests, request_totals, with_digest
-from palimpsest.operators.ordered import newest
+from palimpsest.operators.observe import COHORT, with_digest
 from palimpsest.sources.observations import append_observations
 
 SHOW_AGAIN_SECS = 1_200
