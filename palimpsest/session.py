@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +19,30 @@ def tune(spark: SparkSession) -> SparkSession:
     # Parse a JSON record once; the rewrite would parse it again for every field read.
     spark.conf.set("spark.sql.optimizer.enableJsonExpressionOptimization", "false")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python workers can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    files = sorted(root.rglob("*.py"))
+    digest = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:16]
+    # The driver serves this file to the executors itself; they do not open the path.
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{root.name}-{digest}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in files:
+            out.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (
@@ -35,7 +60,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's if it names one, else a local one."""
+    """The shared folder for checkpoints. Only a session on one machine may go without naming one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -45,6 +70,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = spark.sparkContext.getCheckpointDir()
     return current
