@@ -37,7 +37,7 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 ENDINGS_ONE = "stmd"
 ENDINGS_TWO = ["re", "ve", "ll"]
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 SHORT = 128
 NONE = 1 << 60
 CACHE_PIECE = 64
