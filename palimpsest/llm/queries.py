@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontaminate, jaccard, language, pii, quality, secrets
+from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, pii, quality, secrets
 from palimpsest.llm.sampling import fold
 from palimpsest.session import tune
 
@@ -131,3 +131,8 @@ def _(spark, sf_dir):
     )
     decoded = bpe.decode(digested, vocabulary, keep=["doc_id", "n_tokens", "ids_sha256"])
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_neighbours")
+def _(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
