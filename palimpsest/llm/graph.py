@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.text import mix
 from palimpsest.session import cut
 
 
@@ -44,62 +47,184 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.join(links.select(F.col("a").alias("id"), "b"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
-def find_links(
-    rows: DataFrame, bucket: list[str], carried: list[str], may_link: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame], DataFrame], stars: int = 2
-) -> DataFrame:
-    """Links (a, b) that join whatever the buckets' true links join, each pair verified once.
+SKETCH_BITS = 18
+HOT = 4096
+SALTS = 64
 
-    ``rows`` holds the bucket columns, ``id`` and ``carried`` columns; two ids are a candidate pair if they share
-    a bucket and ``may_link`` holds for their carried columns. ``verify`` keeps the true links of pairs (a, b).
 
-    First rounds compare every member of a bucket with one pivot: pairs are as many as rows. What they link is put into
-    components. The last round compares, in every bucket, the members that are not in its largest component with all
-    members of other components. Pairs inside a component are never formed, so a group of near copies costs one
-    comparison for each member and bucket, and no link between components is left out.
+def place(tokens: np.ndarray) -> np.ndarray:
+    """A token's counter in a sketch."""
+    return (tokens.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def meet(rows: DataFrame, sketch, may_link: Callable) -> DataFrame:
+    """Rows (token, id, n, at) whose token others may have too, each with two it may link with: ``first`` and ``near``.
+
+    Rows of a token lie side by side, by n, in one partition; a pass over them keeps one row at a time of what went before.
+    ``near`` is the row before, ``first`` the first of the same token and size class; null where ``may_link`` rules them out.
+    A token whose sketch counter is high may hold a large share of the rows: it is dealt over ``SALTS`` partitions,
+    which costs it some of these hints but no row.
+    """
+
+    def hot(tokens: np.ndarray) -> np.ndarray:
+        counts = sketch.value
+        return counts[place(tokens)] > 2 * counts.mean() + HOT
+
+    def deal(batches):
+        for batch in batches:
+            t, of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            salt = np.where(hot(t), mix(of.view(np.uint64)) % np.uint64(SALTS), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt)], names=[*batch.schema.names, "salt"])
+
+    def run(batches):
+        held, last, head = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                out, last, head = hint(held, last, head, batch.column(0)[0].as_py())
+                yield out
+            held = batch
+        if held is not None:
+            yield hint(held, last, head, None)[0]
+
+    def hint(batch, last, head, after):
+        """last: the row before; head: the first row of its token and size class."""
+        t, of, n, at = (batch.column(i).to_numpy() for i in range(4))
+        size = np.floor(np.log(np.maximum(n, 1)) / np.log(1.26)).astype(np.int64)
+        same = np.zeros(len(t) + 1, bool)
+        same[1:-1] = t[1:] == t[:-1]
+        same[0], same[-1] = last is not None and last[0] == t[0], after == t[-1]
+        again = same[:-1].copy()
+        again[1:] &= size[1:] == size[:-1]
+        again[0] = same[0] and head[4] == size[0]
+        began = np.maximum.accumulate(np.where(again, -1, np.arange(len(t))))
+
+        def partner(rows, carried):
+            """Columns of the row at each index; -1 is the carried one."""
+            return [np.where(rows < 0, carried[i + 1] if carried else 0, x[np.maximum(rows, 0)]) for i, x in enumerate((of, n, at))]
+
+        out = []
+        for rows, carried, holds in ((began, head, again), (np.arange(len(t)) - 1, last, same[:-1])):
+            pid, pn, pat = partner(rows, carried)
+            good = holds & (pid != of) & may_link(n, at, pn, pat)
+            out.append(pa.array(np.where(good, pid, 0), pa.int64(), mask=~good))
+        end = len(t) - 1
+        last = (t[end], of[end], n[end], at[end], size[end])
+        head = head if began[end] < 0 else tuple(x[began[end]] for x in (t, of, n, at, size))
+        kept = pa.array(same[1:] | same[:-1] | hot(t))
+        return pa.RecordBatch.from_arrays([*batch.columns, *out], names=["token", "id", "n", "at", "first", "near"]).filter(kept), last, head
+
+    schema = "token long, id long, n int, at int"
+    dealt = rows.select("token", "id", "n", "at").mapInArrow(deal, f"{schema}, salt int")
+    dealt = dealt.repartition("token", "salt").sortWithinPartitions("token", "n", "id").drop("salt")
+    return dealt.mapInArrow(run, f"{schema}, first long, near long")
+
+
+FILTER_BITS = 24
+
+
+def among(frame: DataFrame, wanted: DataFrame, id: str = "id") -> DataFrame:
+    """Rows of ``frame`` whose id may be wanted, without a shuffle of what they carry.
+
+    Wanted ids (column ``id``) set bits of a filter of fixed size, which is broadcast. Rows that pass without being
+    wanted must fall in a later join; the more ids, the more pass, up to all.
+    """
+    slot = F.pmod(F.xxhash64(F.col(id)), F.lit(1 << FILTER_BITS))
+    seen = wanted.select(F.pmod(F.xxhash64(F.col("id")), F.lit(1 << FILTER_BITS)).alias("slot"))
+    seen = seen.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for batch in seen.toArrow().to_batches():
+        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    shared = frame.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            passes = (bits[at >> 6] >> (at & 63)) & 1
+            out = batch.filter(pa.array(passes.astype(bool)))
+            yield pa.RecordBatch.from_arrays(out.columns[:-1], names=out.schema.names[:-1])
+
+    return frame.withColumn("__slot", slot).mapInArrow(run, frame.schema)
+
+
+PARITY_WORDS = 8
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """512 bits for a set: each member flips one. Two sets differ in as many members as bits, at least."""
+    at = (found >> np.uint64(20)) & np.uint64(64 * PARITY_WORDS - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differ(x: str, y: str):
+    """How many members two sets differ in, at least."""
+    out = F.lit(0)
+    for i in range(PARITY_WORDS):
+        out = out + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
+    return out
+
+
+def linked_groups(rows: DataFrame, parities: DataFrame, least: int, may_link: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) for every id that a true link between rows sharing a token joins to another.
+
+    ``rows`` comes from ``meet``; ``may_link(n, at, n, at)`` bounds a pair by its carried numbers; ``parities`` holds
+    (id, bits) of each set, and ``least`` is the similarity in per cent; ``verify`` keeps the true links of pairs (a, b).
+
+    First rounds verify a few partners of each id: the two hints of its rarest token, then twice a member of the largest
+    component of that token, if it is not in it. What they link is put into components. Then, for every token, the rows
+    that are not in its largest component are compared with all rows of other components, if their sizes, places and
+    parity bits allow a link. Pairs inside a component are never formed, so a group of near copies costs a few
+    comparisons for each member, and no link between components is left out.
     """
-    spark = rows.sparkSession
-    done = None
-    links = None
-    label = None
-    names = ["id", *carried]
-
-    def side(name: str) -> Callable[[str], Column]:
-        return lambda c: F.col(f"{name}_{c}")
-
-    def renamed(frame: DataFrame, name: str, extra: tuple[str, ...] = ()) -> DataFrame:
-        return frame.select(*bucket, *[F.col(c).alias(f"{name}_{c}") for c in (*names, *extra)])
-
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        nonlocal done, links
-        pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs, f"pairs-{name}")
-        good = cut(verify(pairs), f"good-{name}")
-        done = pairs if done is None else done.union(pairs)
-        links = good if links is None else links.union(good)
-        return links
-
-    for turn in range(stars):
-        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), *names)
-        pivots = rows.groupBy(*bucket).agg(F.min(order).alias("p"))
-        pivots = pivots.select(*bucket, *[F.col(f"p.{c}").alias(f"y_{c}") for c in names])
-        pairs = renamed(rows, "x").join(pivots, bucket).where((F.col("x_id") != F.col("y_id")) & may_link(side("x"), side("y")))
-        if label is not None:
-            pairs = _labelled(pairs, label, "x_id", "x_of")
-            pairs = _labelled(pairs, label, "y_id", "y_of").where("x_of <> y_of")
-        check(pairs, f"star-{turn}")
-        label = cut(components(links), "label")
+    hints = rows.groupBy("id").agg(F.expr("min_by(first, at) filter (where first is not null)").alias("p"), F.expr("min_by(near, at) filter (where near is not null)").alias("q"))
+    hinted = hints.select(F.explode(F.array("p", "q")).alias("other"), "id").where("other is not null")
+    done = cut(_pairs(hinted, "id", "other"), "pairs-hinted")
+    label = cut(components(cut(verify(done), "links-hinted")), "label")
+    rows = rows.select("token", "id", "n", "at")
+    for turn in range(2):
+        mixed = _mixed(rows, label)
+        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "at")
+        pivots = mixed.where("of = main").groupBy("token").agg(F.min(order).alias("p"))
+        outer = mixed.where("of <> main").join(pivots.select("token", "p.*").toDF("token", "h", "y_id", "y_n", "y_at"), "token")
+        outer = outer.where(may_link(F.col("n"), F.col("at"), F.col("y_n"), F.col("y_at"))).groupBy("id").agg(F.min_by("y_id", "at").alias("other"))
+        pairs = cut(_pairs(outer, "id", "other").join(done, ["a", "b"], "left_anti"), "pairs-pivot")
+        label = _joined(label, cut(verify(pairs), "links-pivot"))
+        done = done.union(pairs)
+    mixed = cut(_mixed(rows, label).join(parities, "id"), "mixed")
+    names = ("id", "n", "at", "of", "bits")
+    x = mixed.where("of <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = mixed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in names])
+    # i of n and m is enough if 100 i >= least (n + m - i); then the sets differ in n + m - 2 i members at most.
+    room = (F.col("x_n") + F.col("y_n")) * (100 - least) >= _differ("x_bits", "y_bits") * (100 + least)
+    rest = x.join(y, "token").where("x_of <> y_of and (y_of = main or x_id < y_id)")
+    rest = rest.where(may_link(F.col("x_n"), F.col("x_at"), F.col("y_n"), F.col("y_at")) & room).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
+    rest = cut(_pairs(rest, "x", "y").join(done, ["a", "b"], "left_anti"), "pairs-rest")
+    return _joined(label, cut(verify(rest), "links-rest"))
+
+
+def _pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
+    return frame.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _mixed(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of tokens that are in several components, with the row's component and the token's largest."""
     of = _labelled(rows, label, "id", "of")
-    sizes = of.groupBy(*bucket, "of").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy(*bucket).agg(F.max(F.struct("n", "of")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    mixed = cut(of.join(largest.select(*bucket, F.col("m.of").alias("main")), bucket), "mixed")
-    minor = renamed(mixed.where("of <> main"), "x", ("of",))
-    other = renamed(mixed, "y", ("of", "main"))
-    pairs = minor.join(other, bucket).where(
-        "x_of <> y_of and (y_of = y_main or x_id < y_id)"
-    ).where(may_link(side("x"), side("y")))
-    return check(pairs, "rest")
+    sizes = of.groupBy("token", "of").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("size", "of"))["of"].alias("main"), F.count("*").alias("k")).where("k > 1")
+    return of.join(largest.select("token", "main"), "token")
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: the links join components, not ids."""
+    more = _labelled(_labelled(links, label, "a", "of_a"), label, "b", "of_b")
+    more = cut(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), "joins")
+    # An id that only these links reach is its own component so far.
+    label = label.union(more.select(F.explode(F.array("a", "b")).alias("id")).select("id", F.col("id").alias("component"))).distinct()
+    moved = components(more).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return cut(label.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "label")
 
 
 def _labelled(frame: DataFrame, label: DataFrame, key: str, name: str) -> DataFrame:

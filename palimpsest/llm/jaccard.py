@@ -8,8 +8,8 @@ linked sets differ by a quarter at most (length filter). A pair is dropped if to
 (positional filter), or if the counts of shingles by hash range, compared before the sets are, rule it out
 (suffix filter). A pair is verified once, on whole sets.
 
-Shingles that occur once in all prefixes are dropped in a pass over sorted rows. Keys whose sketch counter exceeds
-``HOT`` are dealt over several partitions in that pass, as they may hold a large share of the rows.
+Shingles that occur once in all prefixes are dropped in a pass over sorted rows (``graph.meet``), which deals frequent ones
+over several partitions.
 
 Inputs: null, empty or blank texts have an empty set and link with nothing. Texts with fewer than five words have
 one shingle. Texts are taken whole. Ids must be distinct and not null; rows with a null id are left out. An empty
@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.graph import components, find_links
+from palimpsest.llm.graph import SKETCH_BITS, among, linked_groups, meet, parity, place
 from palimpsest.llm.text import BLANKS, Words, chunks, mix, pack, shingle_sets, utf8
 from palimpsest.session import cut
 
 WORDS = 5
-SKETCH = 1 << 18
-HOT = 4096
+SKETCH = 1 << SKETCH_BITS
 RANGES = 16
 FLUSH = 1 << 24
 
@@ -40,31 +39,27 @@ def _digest(found: np.ndarray) -> bytes:
         return np.array([mix(found).sum(dtype=np.uint64), mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes()
 
 
-def _place(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - 18)).astype(np.int64)
-
-
 def set_digests(docs: DataFrame, *, id: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, digest) of each document's set, and the sketch of how many documents hold the shingles of each counter."""
+    """(id, n, digest, bits) of each document's set, and the sketch of how many documents hold the shingles of each counter."""
 
     def run(batches):
         seen, since = np.zeros(SKETCH, np.int64), 0
-        names = ["id", "n", "digest", "place", "seen"]
+        names = ["id", "n", "digest", "bits", "place", "seen"]
 
         def flush():
             at = np.flatnonzero(seen)
             none = lambda kind: pa.nulls(len(at), kind)
-            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int32()), none(pa.binary()), pa.array(at, pa.int32()), pa.array(seen[at])], names=names)
+            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.list_(pa.int64())), pa.array(at, pa.int32()), pa.array(seen[at])], names=names)
 
         for batch in chunks(batches, "text"):
             sets = shingle_sets(Words(*utf8(batch.column(1)), BLANKS), WORDS)
             joined = np.concatenate(sets)
-            np.add.at(seen, _place(joined), 1) if len(joined) < 64 else seen.__iadd__(np.bincount(_place(joined), minlength=SKETCH))
+            np.add.at(seen, place(joined), 1) if len(joined) < 64 else seen.__iadd__(np.bincount(place(joined), minlength=SKETCH))
             since += len(joined)
             n = pa.array([len(s) for s in sets], pa.int32())
             none = lambda kind: pa.nulls(len(sets), kind)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), n, pa.array([_digest(s) for s in sets], pa.binary()), none(pa.int32()), none(pa.int64())], names=names
+                [batch.column(0), n, pa.array([_digest(s) for s in sets], pa.binary()), pack([parity(s) for s in sets], pa.int64()), none(pa.int32()), none(pa.int64())], names=names
             )
             if since > FLUSH:
                 yield flush()
@@ -73,11 +68,11 @@ def set_digests(docs: DataFrame, *, id: str, text: str) -> tuple[DataFrame, np.n
             yield flush()
 
     found = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    both = cut(found.mapInArrow(run, "id long, n int, digest binary, place int, seen long"), "sets")
+    both = cut(found.mapInArrow(run, "id long, n int, digest binary, bits array<long>, place int, seen long"), "sets")
     sketch = np.zeros(SKETCH, np.int64)
     for r in both.where("place is not null").groupBy("place").agg(F.sum("seen").alias("seen")).toArrow().to_batches():
         sketch[r.column(0).to_numpy()] = r.column(1).to_numpy()
-    return both.where("place is null").select("id", "n", "digest"), sketch
+    return both.where("place is null").select("id", "n", "digest", "bits"), sketch
 
 
 def prefix_length(n: int) -> int:
@@ -93,7 +88,7 @@ def _prefixes(docs: DataFrame, sketch) -> DataFrame:
             out = []
             sets = shingle_sets(Words(*utf8(batch.column(1)), BLANKS), WORDS)
             for s in sets:
-                order = np.lexsort((s, counts[_place(s)]))[: prefix_length(len(s)) if len(s) else 0]
+                order = np.lexsort((s, counts[place(s)]))[: prefix_length(len(s)) if len(s) else 0]
                 out.append(s[order].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pack(out, pa.int64())], names=["id", "n", "prefix"]
@@ -102,41 +97,9 @@ def _prefixes(docs: DataFrame, sketch) -> DataFrame:
     return docs.mapInArrow(run, "id long, n int, prefix array<long>")
 
 
-def _drop_single(rows: DataFrame, sketch) -> DataFrame:
-    """Rows whose token occurs more than once; rows of one token lie side by side in a partition, unless it may be hot."""
-
-    def hot(tokens: np.ndarray) -> np.ndarray:
-        return sketch.value[_place(tokens.view(np.uint64))] > sketch.value.mean() * 2 + HOT
-
-    def run(batches):
-        held = None
-        before = None  # the token of the row before the held batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                yield keep(held, before, batch.column(0)[0].as_py())
-                before = held.column(0)[held.num_rows - 1].as_py()
-            held = batch
-        if held is not None:
-            yield keep(held, before, None)
-
-    def keep(batch, before, after):
-        t = batch.column(0).to_numpy()
-        same = np.zeros(len(t) + 1, bool)
-        same[1:-1] = t[1:] == t[:-1]
-        same[0], same[-1] = before == t[0], after == t[-1]
-        return batch.filter(pa.array(same[1:] | same[:-1] | hot(t)))
-
-    def deal(batches):
-        for batch in batches:
-            t, of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            salt = np.where(hot(t), mix(of.view(np.uint64)) % np.uint64(64), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt)], names=[*batch.schema.names, "salt"])
-
-    schema = "token long, id long, n int, at int"
-    dealt = rows.mapInArrow(deal, f"{schema}, salt int")
-    return dealt.repartition("token", "salt").sortWithinPartitions("token").drop("salt").mapInArrow(run, schema)
+def _least_left(n, at, m, of):
+    """Length and positional bound on arrays or columns: the shared shingle and what follows it suffice in both sets."""
+    return ((n - at) * 180 >= (n + m) * 80) & ((m - of) * 180 >= (n + m) * 80)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -178,28 +141,17 @@ def similar_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
     classes = cut(digests.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     prefixes = _prefixes(frame, sketch).where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     rows = prefixes.select("id", "n", F.posexplode("prefix").alias("at", "token")).select("token", "id", "n", "at")
-    shared = _drop_single(rows, sketch)
-    # Linked sets differ by a quarter at most, so they are in one class of sizes or in neighbouring ones.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("int")
-    shared = cut(shared.withColumn("size", F.explode(F.array(step, step + 1))), "shared")
-
-    def may_link(x, y):
-        return F.least(x("n") - x("at"), y("n") - y("at")) * 180 >= (x("n") + y("n")) * 80
-
-    sets = None
+    shared = cut(meet(rows, sketch, _least_left), "shared")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nonlocal sets
-        if sets is None:
-            wanted = shared.select("id").distinct()
-            sets = cut(_sets(frame.join(wanted, "id", "left_semi")), "shingles")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = cut(_sets(among(frame, wanted)), "shingles")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
         )
         return _linked(both)
 
-    links = find_links(shared, ["token", "size"], ["n", "at"], may_link, verify)
-    groups = components(links).select(F.col("id").alias("rep"), "component")
+    groups = linked_groups(shared, digests.select("id", "bits"), 80, _least_left, verify).select(F.col("id").alias("rep"), "component")
     reps = classes.join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return digests.join(reps, "digest", "left").select(
         F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")

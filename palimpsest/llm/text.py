@@ -12,6 +12,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+from palimpsest.session import tune
 
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
@@ -19,6 +22,12 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _WORD_BASE = _U(0xD6E8FEB86659FD93)
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of this package: Arrow batches of a few megabytes, so that a worker holds few long texts at once."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+    return spark
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over their whole range, one to one."""
     x = x.astype(_U, copy=True)
