@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, pii, quality, secrets
+from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, paragraphs, pii, quality, secrets, warc
 from palimpsest.llm.sampling import fold
-from palimpsest.session import tune
+from palimpsest.llm.text import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(tune(spark), sf_dir)
+            return fn(prepare(spark), sf_dir)
 
         QUERIES[name] = run
         if sql:
@@ -136,3 +136,42 @@ def _(spark, sf_dir):
 @query("op7_neighbours")
 def _(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_paragraphs")
+def _(spark, sf_dir):
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def _warc_sql() -> str:
+    text = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for name in warc.DROPPED:
+        text = rf"regexp_replace({text}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', '', 'g')"
+    text = rf"regexp_replace({text}, '(?i)</?({warc.BREAKING})\b[^>]*>', chr(10), 'g')"
+    text = rf"regexp_replace({text}, '</?[A-Za-z!][^>]*>', '', 'g')"
+    for name, char in warc.NAMED.items():
+        text = f"replace({text}, '&{name};', chr({ord(char)}))"
+    text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
+    text = rf"trim(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    uuid = "'<urn:uuid:' || {0}[1:8] || '-' || {0}[9:12] || '-' || {0}[13:16] || '-' || {0}[17:20] || '-' || {0}[21:32] || '>'"
+    return rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, md5('response ' || page_id || ' ' || target_uri) AS m, 'sha256:' || sha256(html) AS source_digest,
+  'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) AS source_headers FROM p),
+b AS (SELECT *, {uuid.format("m")} AS refers_to,
+  array_to_string(list_concat(['source-payload-digest: ' || source_digest,
+    'title: ' || trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '\s+', ' ', 'g')),
+    'language: ' || regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1)],
+    list_transform(list_filter(string_split(source_headers, chr(13) || chr(10)), lambda s: s <> ''), lambda s: 'source-header: ' || s),
+    list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1), lambda s: 'outlink: ' || s)), chr(13) || chr(10)) || chr(13) || chr(10) AS meta,
+  {text} AS body FROM r),
+e AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, meta AS block, md5('metadata ' || refers_to) AS h FROM b
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', body, md5('conversion ' || refers_to) FROM b)
+SELECT page_id, record_type, {uuid.format("h")} AS record_id, refers_to, target_uri, '1970-01-01T00:00:00Z' AS date, content_type, block,
+  'sha256:' || sha256(block) AS block_digest, source_digest, source_headers FROM e
+"""
+
+
+@query("op9_warc", _warc_sql())
+def _(spark, sf_dir):
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages"), keep=["page_id"]), keep=["page_id"])
