@@ -138,7 +138,7 @@ def _(spark, sf_dir):
         F.col("user_id").alias("discovery_order"),
     )
     telemetry = ev.session_telemetry(events, ev.qualified_reductions(events))
-    rows, _coverage = ev.session_report(sessions, telemetry, 1_707_000_000_000, limit=1_000_000)
+    rows, _coverage = ev.session_report(sessions, telemetry, 1_707_000_000_000)
     return rows.select(
         "provider", "session_id", "start_ms", "end_ms", "input_tokens", "cache_read_tokens", "applied",
         "qualified_reductions", "recorded_reduction_tokens",

@@ -237,20 +237,21 @@ MAX_WINDOW_MS = 366 * 86_400_000
 
 
 def session_report(
-    sessions: DataFrame, telemetry: DataFrame, now_ms: int, limit: int = 2_000
+    sessions: DataFrame, telemetry: DataFrame, now_ms: int, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Sessions with their window, usage and telemetry; and the coverage of the report.
 
     ``sessions``: provider, session_id, source_identity_sha256, age_secs, lifetime_scope,
     lifetime_input_tokens, lifetime_cached_tokens, discovery_order.  A key seen twice
-    keeps its first row; past ``limit`` the rest are counted as omitted.
+    keeps its first row. All are reported; a page of the first ``limit`` is a separate wish, and the rest are then
+    counted as omitted.
     """
     source = ["provider", "session_id", "source_identity_sha256"]
     keyed = sessions.withColumn("report_id", F.substring("source_identity_sha256", 1, 32))
     first = keyed.groupBy("provider", "report_id").agg(
         F.min_by(F.struct(*sessions.columns), "discovery_order").alias("s")
     ).select("report_id", "s.*")
-    shown = first.orderBy("discovery_order").limit(limit)
+    shown = first if limit is None else first.orderBy("discovery_order").limit(limit)
     joined = shown.join(telemetry, source, "left")
     active = F.when(
         F.col("age_secs").isNotNull(), F.greatest(now_ms - F.col("age_secs") * 1000, F.lit(0))
@@ -287,8 +288,8 @@ def session_report(
     )
     coverage = first.groupBy().agg(F.count("*").alias("distinct_sessions")).withColumns(
         {
-            "exported": F.least("distinct_sessions", F.lit(limit)),
-            "omitted": F.greatest(F.col("distinct_sessions") - limit, F.lit(0)),
+            "exported": F.col("distinct_sessions") if limit is None else F.least("distinct_sessions", F.lit(limit)),
+            "omitted": F.lit(0) if limit is None else F.greatest(F.col("distinct_sessions") - limit, F.lit(0)),
         }
     )
     return rows, coverage
