@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.text import mix
@@ -176,8 +176,9 @@ def linked_groups(rows: DataFrame, parities: DataFrame, least: int, may_link: Ca
     First rounds verify a few partners of each id: the two hints of its rarest token, then twice a member of the largest
     component of that token, if it is not in it. What they link is put into components. Then, for every token, the rows
     that are not in its largest component are compared with all rows of other components, if their sizes, places and
-    parity bits allow a link. Pairs inside a component are never formed, so a group of near copies costs a few
-    comparisons for each member, and no link between components is left out.
+    parity bits allow a link; first one pair of any two components, then those of components still apart. Pairs inside a
+    component are never formed, so a group of near copies costs a few comparisons for each member, and no link between
+    components is left out.
     """
     hints = rows.groupBy("id").agg(F.expr("min_by(first, at) filter (where first is not null)").alias("p"), F.expr("min_by(near, at) filter (where near is not null)").alias("q"))
     hinted = hints.select(F.explode(F.array("p", "q")).alias("other"), "id").where("other is not null")
@@ -193,16 +194,31 @@ def linked_groups(rows: DataFrame, parities: DataFrame, least: int, may_link: Ca
         pairs = cut(_pairs(outer, "id", "other").join(done, ["a", "b"], "left_anti"), "pairs-pivot")
         label = _joined(label, cut(verify(pairs), "links-pivot"))
         done = done.union(pairs)
-    mixed = cut(_mixed(rows, label).join(parities, "id"), "mixed")
-    names = ("id", "n", "at", "of", "bits")
+    before = F.lag("token").over(Window.partitionBy("id").orderBy("at", "token"))
+    mixed = cut(_mixed(rows, label).join(parities, "id").withColumn("before", before), "mixed")
+    names = ("id", "n", "at", "of", "bits", "before")
     x = mixed.where("of <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in names])
     y = mixed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in names])
     # i of n and m is enough if 100 i >= least (n + m - i); then the sets differ in n + m - 2 i members at most.
-    room = (F.col("x_n") + F.col("y_n")) * (100 - least) >= _differ("x_bits", "y_bits") * (100 + least)
-    rest = x.join(y, "token").where("x_of <> y_of and (y_of = main or x_id < y_id)")
-    rest = rest.where(may_link(F.col("x_n"), F.col("x_at"), F.col("y_n"), F.col("y_at")) & room).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
-    rest = cut(_pairs(rest, "x", "y").join(done, ["a", "b"], "left_anti"), "pairs-rest")
-    return _joined(label, cut(verify(rest), "links-rest"))
+    differ, sizes = _differ("x_bits", "y_bits"), F.col("x_n") + F.col("y_n")
+    # Rows with the same token before them meet there, as ``may_link`` is no stricter at an earlier place.
+    new = F.coalesce(F.col("x_before") != F.col("y_before"), F.lit(True))
+    rest = x.join(y, "token").where("x_of <> y_of and (y_of = main or x_id < y_id)").where(new)
+    rest = rest.where(may_link(F.col("x_n"), F.col("x_at"), F.col("y_n"), F.col("y_at")) & (sizes * (100 - least) >= differ * (100 + least)))
+    rest = rest.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), (differ / sizes).alias("gap"))
+    rest = cut(rest.groupBy("a", "b").agg(F.min("gap").alias("gap")).join(done, ["a", "b"], "left_anti"), "pairs-rest")
+    # Of two components the likeliest pair is verified first; if it links them, their other pairs add nothing.
+    best = _apart(rest, label).groupBy("of_a", "of_b").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b")
+    best = cut(best, "pairs-best")
+    label = _joined(label, cut(verify(best), "links-best"))
+    left = cut(_apart(rest, label).select("a", "b").join(best, ["a", "b"], "left_anti"), "pairs-left")
+    return _joined(label, cut(verify(left), "links-left"))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs between different components, with the smaller component as ``of_a`` and the larger as ``of_b``."""
+    named = _labelled(_labelled(pairs, label, "a", "of_x"), label, "b", "of_y").where("of_x <> of_y")
+    return named.withColumns({"of_a": F.least("of_x", "of_y"), "of_b": F.greatest("of_x", "of_y")})
 
 
 def _pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
