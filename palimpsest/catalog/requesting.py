@@ -85,12 +85,12 @@ def _(spark, sf_dir):
 
 @query(
     "prefix_digests",
-    """SELECT count(*) AS messages, count(DISTINCT p) AS prefixes FROM (SELECT list(role || ':' || substring(text, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)""",
+    """SELECT count(*) AS messages, count(DISTINCT p) AS prefixes FROM (SELECT list(md5(role || ':' || coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)""",
 )
 def _(spark, sf_dir):
-    """How many different prefixes the histories have, messages known by role and first letter."""
+    """How many different prefixes the histories have, messages known by role and whole text."""
     rows = messages(spark, sf_dir).withColumn(
-        "digest", F.sha2(F.concat("role", F.lit(":"), F.substring("text", 1, 1)), 256)
+        "digest", F.sha2(F.concat("role", F.lit(":"), F.coalesce("text", F.lit(""))), 256)
     )
     out = rq.prefix_digests(rows, ["session_id"])
     return out.groupBy().agg(

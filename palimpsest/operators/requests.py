@@ -136,15 +136,38 @@ def repeated_reads(calls: DataFrame, results: DataFrame, keys: list[str], positi
     )
 
 
+MARKERS = ["cache_control", "signature"]
+
+
+def _plain_content(content: Column, nested: bool) -> Column:
+    """Content as text without markers; a string is one text block. With ``nested``, contents of tool results too."""
+
+    def block(b: Column) -> Column:
+        fields = F.map_entries(F.try_variant_get(b, "$", "map<string,variant>"))
+        told = F.coalesce(v.string(b, "$.type") == "tool_result", F.lit(False))
+
+        def field(e: Column) -> Column:
+            value = v.json(e["value"])
+            if nested:
+                inner = told & (e["key"] == "content")
+                value = F.when(inner, _plain_content(e["value"], False)).otherwise(value)
+            return F.concat(F.to_json(F.array(e["key"])), F.lit(":"), value)
+
+        kept = F.filter(fields, lambda e: ~e["key"].isin(MARKERS))
+        return F.coalesce(F.array_join(F.array_sort(F.transform(kept, field)), ","), v.json(b))
+
+    only = F.concat(F.lit('["text"]:'), v.json(content), F.lit(',["type"]:"text"'))
+    listed = F.array_join(F.transform(v.items(content), block), "\n")
+    return F.when(v.string(content).isNotNull(), only).otherwise(F.coalesce(listed, v.json(content)))
+
+
 def message_digest(role: Column, content: Column) -> Column:
     """Digest of a message without its cache markers and signatures.
 
-    Equal messages have equal digests; the value itself is opaque.
+    Equal messages have equal digests, also where one gives a text as a string and the other
+    as its only block; the value itself is opaque.
     """
-    text = F.regexp_replace(
-        v.json(content), r',?"(?:cache_control":\{[^{}]*\}|signature":"(?:[^"\\]|\\.)*")', ""
-    )
-    return F.sha2(F.concat_ws("\n", role, text), 256)
+    return F.sha2(F.concat_ws("\n", role, _plain_content(content, True)), 256)
 
 
 def prefix_digests(messages: DataFrame, keys: list[str], position: str = "message_index") -> DataFrame:
