@@ -77,14 +77,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+#: Whether Spark removes the shuffle files of a finished execution, rather than when the driver next collects garbage.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write a frame to a table in the shared checkpoint folder and read it back.
 
     Used where a frame feeds several branches: the branches then scan a pruned columnar
     table instead of each repeating the work, the plan stays small, and an executor lost
-    later costs a re-read only.
+    later costs a re-read only. Once the table is written, the shuffle files behind it go: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_SHUFFLES_GO)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
