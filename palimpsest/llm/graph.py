@@ -167,11 +167,25 @@ def _differ(x: str, y: str):
     return out
 
 
+def _close(differ, sizes, least: int):
+    """i of n and m is enough if 100 i >= least (n + m - i); then the sets differ in n + m - 2 i members at most."""
+    return sizes * (100 - least) >= differ * (100 + least)
+
+
+def _possible(pairs: DataFrame, parities: DataFrame, least: int) -> DataFrame:
+    """Of pairs (a, b), those whose sizes and parity bits allow a link."""
+    for side in ("a", "b"):
+        held = parities.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
+        pairs = pairs.join(held, side)
+    return pairs.where(_close(_differ("a_bits", "b_bits"), F.col("a_n") + F.col("b_n"), least)).select("a", "b")
+
+
 def linked_groups(rows: DataFrame, parities: DataFrame, least: int, may_link: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) for every id that a true link between rows sharing a token joins to another.
 
     ``rows`` comes from ``meet``; ``may_link(n, at, n, at)`` bounds a pair by its carried numbers; ``parities`` holds
-    (id, bits) of each set, and ``least`` is the similarity in per cent; ``verify`` keeps the true links of pairs (a, b).
+    (id, n, bits) of each set, and ``least`` is the similarity in per cent; ``verify`` keeps the true links of pairs (a, b).
+    Pairs that sizes and parity bits rule out are no links, so they never reach ``verify``.
 
     First rounds verify a few partners of each id: the two hints of its rarest token, then twice a member of the largest
     component of that token, if it is not in it. What they link is put into components. Then, for every token, the rows
@@ -182,7 +196,7 @@ def linked_groups(rows: DataFrame, parities: DataFrame, least: int, may_link: Ca
     """
     hints = rows.groupBy("id").agg(F.expr("min_by(first, at) filter (where first is not null)").alias("p"), F.expr("min_by(near, at) filter (where near is not null)").alias("q"))
     hinted = hints.select(F.explode(F.array("p", "q")).alias("other"), "id").where("other is not null")
-    done = cut(_pairs(hinted, "id", "other"), "pairs-hinted")
+    done = cut(_possible(_pairs(hinted, "id", "other"), parities, least), "pairs-hinted")
     label = cut(components(cut(verify(done), "links-hinted")), "label")
     rows = rows.select("token", "id", "n", "at")
     for turn in range(2):
@@ -191,20 +205,19 @@ def linked_groups(rows: DataFrame, parities: DataFrame, least: int, may_link: Ca
         pivots = mixed.where("of = main").groupBy("token").agg(F.min(order).alias("p"))
         outer = mixed.where("of <> main").join(pivots.select("token", "p.*").toDF("token", "h", "y_id", "y_n", "y_at"), "token")
         outer = outer.where(may_link(F.col("n"), F.col("at"), F.col("y_n"), F.col("y_at"))).groupBy("id").agg(F.min_by("y_id", "at").alias("other"))
-        pairs = cut(_pairs(outer, "id", "other").join(done, ["a", "b"], "left_anti"), "pairs-pivot")
+        pairs = cut(_possible(_pairs(outer, "id", "other").join(done, ["a", "b"], "left_anti"), parities, least), "pairs-pivot")
         label = _joined(label, cut(verify(pairs), "links-pivot"))
         done = done.union(pairs)
     before = F.lag("token").over(Window.partitionBy("id").orderBy("at", "token"))
-    mixed = cut(_mixed(rows, label).join(parities, "id").withColumn("before", before), "mixed")
+    mixed = cut(_mixed(rows, label).join(parities.select("id", "bits"), "id").withColumn("before", before), "mixed")
     names = ("id", "n", "at", "of", "bits", "before")
     x = mixed.where("of <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in names])
     y = mixed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in names])
-    # i of n and m is enough if 100 i >= least (n + m - i); then the sets differ in n + m - 2 i members at most.
     differ, sizes = _differ("x_bits", "y_bits"), F.col("x_n") + F.col("y_n")
     # Rows with the same token before them meet there, as ``may_link`` is no stricter at an earlier place.
     new = F.coalesce(F.col("x_before") != F.col("y_before"), F.lit(True))
     rest = x.join(y, "token").where("x_of <> y_of and (y_of = main or x_id < y_id)").where(new)
-    rest = rest.where(may_link(F.col("x_n"), F.col("x_at"), F.col("y_n"), F.col("y_at")) & (sizes * (100 - least) >= differ * (100 + least)))
+    rest = rest.where(may_link(F.col("x_n"), F.col("x_at"), F.col("y_n"), F.col("y_at")) & _close(differ, sizes, least))
     rest = rest.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), (differ / sizes).alias("gap"))
     rest = cut(rest.groupBy("a", "b").agg(F.min("gap").alias("gap")).join(done, ["a", "b"], "left_anti"), "pairs-rest")
     # Of two components the likeliest pair is verified first; if it links them, their other pairs add nothing.

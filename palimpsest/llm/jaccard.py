@@ -151,7 +151,7 @@ def similar_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
         )
         return _linked(both)
 
-    groups = linked_groups(shared, digests.select("id", "bits"), 80, _least_left, verify).select(F.col("id").alias("rep"), "component")
+    groups = linked_groups(shared, digests.select("id", "n", "bits"), 80, _least_left, verify).select(F.col("id").alias("rep"), "component")
     reps = classes.join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return digests.join(reps, "digest", "left").select(
         F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")

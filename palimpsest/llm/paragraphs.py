@@ -152,7 +152,7 @@ def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
         )
         return _similar(both)
 
-    groups = linked_groups(shared, classes.select("id", "bits"), SIMILARITY, _may_link, verify)
+    groups = linked_groups(shared, classes.select("id", "n", "bits"), SIMILARITY, _may_link, verify)
     members = found.select("doc", "place", "start", "end", "id").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
     members = cut(members.drop("component", "id"), "members")
     kept = members.groupBy("group").agg(F.min(F.struct("doc", "place")).alias("keep"), F.count("*").alias("copies")).where("copies > 1")
