@@ -159,6 +159,18 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def parities(flat: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
+    """``parity`` of every set of many that lie end to end in ``flat``, each from its place in ``ptr`` on."""
+    width, out = 64 * PARITY_WORDS, []
+    at = ((flat >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)
+    for a in range(0, len(ptr) - 1, 4096):
+        own = ptr[a : a + 4097]
+        place = np.repeat(np.arange(len(own) - 1), np.diff(own)) * width + at[own[0] : own[-1]]
+        odd = np.bincount(place, minlength=(len(own) - 1) * width) & 1
+        out += list(np.packbits(odd.astype(np.uint8).reshape(-1, width), axis=1, bitorder="little").view(np.int64))
+    return out
+
+
 def _differ(x: str, y: str):
     """How many members two sets differ in, at least."""
     out = F.lit(0)

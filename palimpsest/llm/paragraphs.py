@@ -1,13 +1,15 @@
 """Passages that repeat within or across documents: MinHash banding of paragraphs, exact verification, components.
 
-A paragraph is a line of ``MIN_WORDS`` words or more; it stands for its set of distinct five-word shingles. Bands are
+A paragraph is a line of ``MIN_WORDS`` words or more; it stands for its set of distinct five-word shingles. Shorter lines have no
+shingle; they, and passages that cross lines or lie inside unlike ones, are found word for word by ``repeats``. Bands are
 tuned from the wanted similarity: the fewest hashes for which a pair at that similarity collides with a probability of
 ``RECALL`` and a pair at half of it seldom does. Paragraphs with equal sets are one class. Classes that collide in a band are
-verified by the exact Jaccard similarity of their sets (0.8 or more), each pair once, and linked ones form components. Of
+verified by the exact Jaccard similarity of their sets (0.8 or more), each pair once, and linked ones form components. Sets of
+fewer than ``LEAST`` shingles can be similar to equal ones only, and need no bands. Of
 a component, the paragraph with the smallest (document, position) stays, and all others are to be removed.
 
 Inputs: null, empty and short texts have no paragraph. Texts are taken whole. Rows with a null id are left out; equal
-rows have equal paragraphs, which repeat each other. An empty table gives an empty result. Other columns are
+rows have equal paragraphs, which repeat each other: both count as copies, and their span has one row. An empty table gives an empty result. Other columns are
 ignored here and kept by ``without_repeats``.
 """
 
@@ -18,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.graph import SKETCH_BITS, among, linked_groups, meet, parity
-from palimpsest.llm.text import BLANKS, Words, chunks, mix, pack, shingle_sets, utf8
+from palimpsest.llm.graph import SKETCH_BITS, among, linked_groups, meet, parities
+from palimpsest.llm.text import BLANKS, Words, chunks, mix, pack, utf8
 from palimpsest.session import cut
 
-MIN_WORDS = 40
+WORDS = 5
+MIN_WORDS = WORDS
 SIMILARITY = 80  # per cent
 RECALL = 0.999
-WORDS = 5
+LEAST = -(-SIMILARITY // (100 - SIMILARITY))  # n of n + 1 shared shingles are enough from here on
 
 
 def tune_bands(similarity: float, recall: float) -> tuple[int, int]:
@@ -58,8 +61,17 @@ class Lines:
         stop = bounds[1:][long]
         self.end = stop - (data[stop - 1] == 10) if len(long) else stop
         whole = words.runs(WORDS)
-        self.sets = [np.unique(whole[words.ptr[i] : words.ptr[i + 1] - WORDS + 1]) for i in long.tolist()]
-        self.ids = np.array([mix(s).sum(dtype=np.uint64) for s in self.sets], np.uint64).view(np.int64)
+        sizes = (np.diff(words.ptr)[long] - WORDS + 1).astype(np.int64)
+        of = np.repeat(np.arange(len(long)), sizes)
+        shingle = whole[np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + words.ptr[:-1][long][of]]
+        order = np.lexsort((shingle, of))
+        of, shingle = of[order], shingle[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])
+        #: All sets end to end, each sorted; ``ptr`` has the first member of each.
+        self.of, self.flat = of[new], shingle[new]
+        self.ptr = np.searchsorted(self.of, np.arange(len(long) + 1))
+        self.ids = (np.add.reduceat(mix(self.flat), self.ptr[:-1]) if len(long) else self.flat).view(np.int64)
         # Code points before a byte: bytes that do not continue another.
         points = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=points[1:])
@@ -67,18 +79,21 @@ class Lines:
         self.from_point, self.to_point = points[self.start] - base, points[self.end] - base
 
     def bands(self) -> list[np.ndarray]:
-        """A token for each band of each set: its minima hashed together with the band's number."""
-        if not self.sets:
+        """A token for each band of each set: its minima hashed together with the band's number; none for sets below ``LEAST``."""
+        n = len(self.ids)
+        if not n:
             return []
-        flat = np.concatenate(self.sets)
-        starts = np.cumsum([0, *(len(s) for s in self.sets)])[:-1]
-        out = np.zeros((len(self.sets), BANDS), np.uint64)
+        out = np.zeros((n, BANDS), np.uint64)
         for b in range(BANDS):
-            token = np.full(len(self.sets), b + 1, np.uint64)
+            token = np.full(n, b + 1, np.uint64)
             for seed in _SEEDS[b * ROWS : (b + 1) * ROWS]:
-                token = mix(token * np.uint64(31) + np.minimum.reduceat((flat ^ seed) * seed, starts))
+                token = mix(token * np.uint64(31) + np.minimum.reduceat((self.flat ^ seed) * seed, self.ptr[:-1]))
             out[:, b] = token
-        return list(out.view(np.int64))
+        banded = np.diff(self.ptr) >= LEAST
+        return [x if good else x[:0] for x, good in zip(out.view(np.int64), banded.tolist(), strict=True)]
+
+    def sets(self) -> list[np.ndarray]:
+        return [self.flat[a:b] for a, b in zip(self.ptr[:-1].tolist(), self.ptr[1:].tolist(), strict=True)]
 
 
 def _may_link(n, at, m, of):
@@ -93,8 +108,8 @@ def _paragraphs(frame: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(lines.row)), pa.array(lines.place, pa.int32()), pa.array(lines.from_point, pa.int32()),
-                    pa.array(lines.to_point, pa.int32()), pa.array(lines.ids), pa.array([len(s) for s in lines.sets], pa.int32()),
-                    pack(lines.bands(), pa.int64()), pack([parity(s) for s in lines.sets], pa.int64()),
+                    pa.array(lines.to_point, pa.int32()), pa.array(lines.ids), pa.array(np.diff(lines.ptr), pa.int32()),
+                    pack(lines.bands(), pa.int64()), pack(parities(lines.flat, lines.ptr), pa.int64()),
                 ],
                 names=["doc", "place", "start", "end", "id", "n", "bands", "bits"],
             )
@@ -106,7 +121,7 @@ def _sets(frame: DataFrame) -> DataFrame:
     def run(batches):
         for batch in chunks(batches, "text"):
             lines = Lines(*utf8(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(lines.ids), pa.array([s.tobytes() for s in lines.sets], pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.ids), pa.array([s.tobytes() for s in lines.sets()], pa.binary())], names=["id", "shingles"])
 
     return frame.mapInArrow(run, "id long, shingles binary")
 
@@ -159,7 +174,7 @@ def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     return members.join(kept, "group").select(
         F.col("doc").alias(id), F.col("place").alias("paragraph"), "start", "end", F.col("keep.doc").alias("kept_in"), "copies",
         (F.struct("doc", "place") != F.col("keep")).alias("removed"),
-    )
+    ).distinct()
 
 
 def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, paragraphs, pii, quality, secrets, warc
+from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, paragraphs, pii, quality, repeats, secrets, warc
 from palimpsest.llm.sampling import fold
 from palimpsest.llm.text import prepare
 
@@ -140,7 +140,8 @@ def _(spark, sf_dir):
 
 @query("op4_paragraphs")
 def _(spark, sf_dir):
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return paragraphs.repeated_paragraphs(docs).unionByName(repeats.repeated_passages(docs))
 
 
 def _warc_sql() -> str:

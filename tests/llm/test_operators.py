@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, paragraphs, pii, quality, secrets, text, warc
+from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, paragraphs, pii, quality, repeats, secrets, text, warc
 from palimpsest.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -234,6 +234,88 @@ def test_paragraphs_against_brute_force(spark):
         assert left[k] == (by_id[k] if k == v else f"short line {k}\nend")
 
 
+def test_short_lines_repeat(spark):
+    """Lines of five words and more are paragraphs, and near copies of them are found."""
+    words = [f"v{i}" for i in range(30)]
+    wrapped = ["\n".join(" ".join(words[a : a + n]) for a in range(0, 30, n)) for n in (5, 10)]
+    near = " ".join([*words[:9], "other"])
+    docs = spark.createDataFrame([(1, wrapped[0]), (2, wrapped[0]), (3, wrapped[1]), (4, f"x\n{near}")], "doc_id long, text string")
+    got = {(r["doc_id"], r["paragraph"], r["kept_in"], r["copies"], r["removed"]) for r in paragraphs.repeated_paragraphs(docs).collect()}
+    want = {(d, k, 1, 2, d == 2) for d in (1, 2) for k in range(6)}
+    assert got == want  # 5 of 7 shingles of the near line are too few
+    wide = [f"v{i}" for i in range(25)]
+    docs = spark.createDataFrame([(1, " ".join(wide)), (2, "a\n" + " ".join([*wide[:24], "z"]))], "doc_id long, text string")
+    assert {(r["doc_id"], r["paragraph"], r["removed"]) for r in paragraphs.repeated_paragraphs(docs).collect()} == {(1, 0, False), (2, 1, True)}
+
+
+def covered(t, spans):
+    """Numbers of the words that lie in a span."""
+    return {i for i, m in enumerate(re.finditer(r"\S+", t)) if any(a <= m.start() and m.end() <= b for a, b in spans)}
+
+
+def repeated_words(texts):
+    """For each text, the words in a window of 51 that stands twice, and those in windows that stand earlier too."""
+    first, at = {}, defaultdict(list)
+    for k in sorted(texts):
+        w = texts[k].lower().split()
+        for p in range(len(w) - 50):
+            g = tuple(w[p : p + 51])
+            first.setdefault(g, (k, p))
+            at[g].append((k, p))
+    all_, later = defaultdict(set), defaultdict(set)
+    for g, places in at.items():
+        for k, p in places if len(places) > 1 else []:
+            all_[k] |= set(range(p, p + 51))
+            if (k, p) != first[g]:
+                later[k] |= set(range(p, p + 51))
+    return all_, later
+
+
+def test_passages_cross_lines(spark):
+    rng = np.random.default_rng(3)
+
+    def own(n):
+        return [f"u{rng.integers(1 << 40)}é" for _ in range(n)]
+
+    def wrap(words, n):
+        return "\n".join(" ".join(words[a : a + n]) for a in range(0, len(words), n))
+
+    shared, other = own(60), own(51)
+    texts = {
+        1: wrap(shared, 4), 2: wrap(own(3) + shared, 3), 3: " ".join(own(70) + shared + own(70)), 4: wrap(own(20) + [w[:-1].upper() + "é" for w in shared] + own(9), 11),
+        5: " ".join(other), 6: "\n\n".join(own(30) + other + own(1)), 7: " ".join(own(9) + other[:50] + own(9)), 8: "a b " * 60,
+        9: " ".join(own(20) + shared[:55] + other + own(5)), 10: None, 11: "",
+    }
+    docs = spark.createDataFrame([*texts.items(), (None, texts[1])], "doc_id long, text string").withColumn("start", F.lit("clash"))
+    got = defaultdict(list)
+    for r in repeats.repeated_passages(docs).collect():
+        got[r["doc_id"]].append(r)
+    texts = {k: t or "" for k, t in texts.items()}
+    want, later = repeated_words(texts)
+    assert {k for k in got} == {1, 2, 3, 4, 5, 6, 8, 9} == {k for k in want if want[k]}
+    for k, rows in got.items():
+        assert covered(texts[k], [(r["start"], r["end"]) for r in rows]) == want[k]
+        assert covered(texts[k], [(r["start"], r["end"]) for r in rows if r["removed"]]) <= later[k]
+        spans = sorted((r["start"], r["end"]) for r in rows)
+        assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+    assert [(r["kept_in"], r["copies"], r["removed"], r["paragraph"]) for r in got[4]] == [(1, 5, True, 1)]
+    assert [(r["kept_in"], r["removed"]) for r in sorted(got[9], key=lambda r: r["start"])] == [(1, True), (5, True)]
+    assert {r["removed"] for k in (1, 5) for r in got[k]} == {False}
+    assert repeats.repeated_passages(docs.limit(0)).isEmpty()
+
+
+def test_passages_query(spark):
+    """No word of a repeated passage of more than 50 words is left without a row, whatever its lines."""
+    smaller = LARGER.replace("sf0.01", "sf0.001")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{smaller}/documents.parquet").collect()}
+    got = defaultdict(list)
+    for r in QUERIES["op4_paragraphs"](spark, smaller).collect():
+        got[r["doc_id"]].append((r["start"], r["end"]))
+    want, _ = repeated_words(texts)
+    assert sum(map(len, want.values())) > 0
+    assert all(want[k] <= covered(texts[k], got[k]) for k in want)
+
+
 def test_near_copies_edges(spark, edges):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(edges).collect()}
     assert got[6] == 5 and got[1] == 1 and got[3] == 3 and None not in got
