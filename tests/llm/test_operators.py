@@ -91,6 +91,36 @@ def test_language_edges(spark, edges):
     assert language.identify(edges.limit(0), edges, keep=["doc_id"]).isEmpty()
 
 
+def test_language_long_texts(spark):
+    """Texts of one language and of one to several megabytes do not fill the space of n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null and lang is not null")
+    held = (F.xxhash64("doc_id") % 2 == 0) & (F.col("lang").isin("de", "en", "es", "fr"))
+    joined = {r["lang"]: "\n".join(r["t"]) for r in docs.where(held).groupBy("lang").agg(F.array_sort(F.collect_list("text")).alias("t")).collect()}
+    rows = [(f"{k}{n}", k, (t * 5)[: n * 1_000_000]) for k, t in joined.items() for n in (1, 2, 4)]
+    long = spark.createDataFrame(rows, "doc_id string, lang string, text string").repartition(4)
+    got = language.identify(long, docs.where(~held), keep=["doc_id", "lang"]).collect()
+    assert len(got) == 12 and [(r["doc_id"], r["lang_pred"]) for r in got if r["lang_pred"] != r["lang"]] == []
+    assert min(r["score"] for r in got) > 0.9
+
+
+@given(st.lists(st.text(alphabet="abé Z", max_size=40), max_size=6), st.integers(3, 50))
+@settings(max_examples=100, deadline=None)
+def test_language_pieces(texts, size):
+    """Pieces of a text hold all of its n-grams and no others."""
+    import pyarrow as pa
+
+    data, offsets = text.utf8(pa.array(texts, pa.string()))
+    before, language.SEGMENT = language.SEGMENT, size
+    try:
+        pieces = language.Pieces(offsets)
+        found = pieces.spectrum(data, 0, len(pieces.of))
+    finally:
+        language.SEGMENT = before
+    whole = np.zeros((len(texts), language.BINS), np.float32)
+    np.maximum.at(whole, pieces.of, found)
+    assert (whole == language.spectrum(data, offsets)).all()
+
+
 # 3, 8: spans
 
 
