@@ -118,7 +118,7 @@ def _walk_branch(pdf: pd.DataFrame) -> pd.DataFrame:
 def live_lines(records: DataFrame) -> DataFrame:
     """Live lines of branch files with the state of each file.
 
-    One file is one task's group, with ids only; the reader's record limit bounds it.
+    One file is one task's group, with ids only.
     A file without live lines has one row with line -1.
     """
     return branch_links(records).groupBy(*KEYS).applyInPandas(_walk_branch, _LIVE)
@@ -203,7 +203,7 @@ def items_branch(records: DataFrame, live: DataFrame | None = None) -> DataFrame
         *LINE,
         F.aggregate("_r", F.expr("0L"), lambda n, r: n + r.bytes).alias("_bytes"),
         F.size(eligible).alias("_parts"),
-        F.slice(ids, 1, 64).alias("_ids"),
+        ids.alias("_ids"),
         F.when(F.size(names) > 0, F.array_join(names, "+")).otherwise("tool_result").alias("_label"),
         _first_chars(F.array_join(parts, "; "), 240).alias("_summary"),
         F.when(F.size(eligible) > 0, fingerprint(F.transform(eligible, lambda r: r.content_json))).alias("_hash"),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest import fixed
 from palimpsest.functions import variant as v
 from palimpsest.operators.ordered import newest, once
-
-MAX_TRANSCRIPT_BYTES = 64 * 1024 * 1024
+from palimpsest.session import cut
 
 
 def decode(raw: str | Column) -> Column:
@@ -18,41 +17,43 @@ def decode(raw: str | Column) -> Column:
 
 
 def read_transcripts(
-    spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_TRANSCRIPT_BYTES
+    spark: SparkSession, paths: str | list[str], max_bytes: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lines of transcript files, the files, and the files refused for their size.
 
-    A file is read whole so its lines keep their number; a file over the byte or record
-    limit is refused, which bounds every session below.
+    Files are read in blocks, by lines, so a file of any size is spread over tasks. Lines are
+    numbered inside their block, and blocks by the lines before them. Only a caller that names
+    ``max_bytes`` has larger files refused.
     """
-    files = spark.read.text(paths, wholetext=True).select(
+    known = spark.read.format("binaryFile").load(paths).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("file_bytes"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
-        "value",
     )
-    # A final newline ends the last line; it does not start another.
-    body = F.regexp_replace("value", r"\n\z", "")
-    lines = F.when(F.col("value") == "", F.expr("cast(array() as array<string>)")).otherwise(
-        F.split(body, "\n", -1)
+    fits = F.lit(True) if max_bytes is None else F.col("file_bytes") <= max_bytes
+    refused = known.filter(~fits).select(
+        "path", "file_bytes", F.lit("transcript exceeds byte limit").alias("reason")
     )
-    counted = files.withColumn("_lines", F.when(F.col("file_bytes") <= max_bytes, lines)).withColumn(
-        "records", F.size("_lines")
+    # Ids rise in the order of lines inside a block. They are written once, so that all readers see the same.
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("file_bytes"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.regexp_replace("value", r"\r\z", "").alias("raw"),
     )
-    whole = (F.col("file_bytes") <= max_bytes) & (F.col("records") <= fixed.MAX_ITEMS)
-    refused = counted.filter(~whole).select(
-        "path",
-        "file_bytes",
-        F.when(F.col("file_bytes") > max_bytes, "transcript exceeds byte limit")
-        .otherwise("transcript exceeds record limit").alias("reason"),
+    lines = cut(lines.filter(fits).drop("file_bytes"), "lines")
+    blocks = lines.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_lines"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+    rows = lines.join(blocks, ["path", "_block"]).select(
+        "path", (F.col("_before") + F.col("_at") - F.col("_first")).alias("line_index"), "raw"
     )
-    kept = counted.filter(whole)
-    rows = kept.select("path", F.posexplode("_lines").alias("line_index", "raw")).select(
-        "path",
-        F.col("line_index").cast("long").alias("line_index"),
-        F.regexp_replace("raw", r"\r\z", "").alias("raw"),
+    counted = blocks.groupBy("path").agg(F.sum("_lines").alias("_records"))
+    files = known.filter(fits).join(counted, "path", "left").select(
+        "path", "file_bytes", "modified_at", F.coalesce("_records", F.lit(0)).cast("int").alias("records")
     )
-    return rows, kept.select("path", "file_bytes", "modified_at", "records"), refused
+    return rows, files, refused
 
 
 def sniff_provider(rows: DataFrame) -> DataFrame:
