@@ -4,7 +4,8 @@ Terms are hashed byte trigrams, and forms of words (equal to the one before, end
 capital). Trigrams' document frequencies are counted over all texts. A bounded sample of labelled texts gives
 the latent space by a singular value decomposition of log counts weighted by rarity, and its vectors are broadcast
 (``SAMPLE`` rows of ``RANK`` numbers). Every text is folded into the space, its exact cosine to every labelled
-vector computed in blocks, and its ``NEIGHBOURS`` nearest vote, weighted by a power of the cosine.
+vector computed in blocks, and its ``NEIGHBOURS`` nearest vote, weighted by a power of the cosine, and by how many
+labelled rows a sampled one of its label stands for, so that scores do not depend on which label was sampled.
 
 Inputs: null and empty texts get the share of label 1 among the labelled rows; so does any text with no term.
 Without labelled rows the score is 0.5. Texts are taken whole; equal rows score alike; columns not in ``keep``
@@ -91,10 +92,8 @@ def classify(
 ) -> DataFrame:
     """``keep`` columns with ``score``, learned from ``labelled`` (key, label 0 or 1), whose texts are in ``docs``."""
     spark = docs.sparkSession
-    chosen = balanced(
-        labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).distinct(),
-        "__label", PER_LABEL, "__key",
-    )
+    known = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).distinct()
+    chosen = balanced(known, "__label", PER_LABEL, "__key")
     # Bounded by PER_LABEL rows for each of two labels.
     sample = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key").select("__text", "__label")
 
@@ -110,6 +109,8 @@ def classify(
     if not found:
         return kept.select("*", F.lit(0.5).alias("score"))
     found.sort(key=lambda r: (r["label"], bytes(r["logs"])))  # arrival order must not matter
+    rows = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
+    prior = rows.get(1, 0) / sum(rows.values())
     seen, n = document_frequencies(docs, text)
     rarity = np.log((1 + n) / (1 + seen)) + 0.1
     logs = np.frombuffer(b"".join(bytes(r["logs"]) for r in found), np.uint8).reshape(len(found), TERMS + FORMS).astype(np.float64) / 16
@@ -120,26 +121,26 @@ def classify(
     basis = basis * np.where(np.abs(basis).max(0) == basis.max(0), 1, -1)
     latent = x @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast((rarity, basis, latent, labels))
+    stands_for = np.array([rows[int(x)] for x in labels]) / np.where(labels == 1, (labels == 1).sum(), (labels == 0).sum())
+    shared = spark.sparkContext.broadcast((rarity, basis, latent, labels, stands_for))
 
     def score(batches):
-        rarity, basis, latent, labels = shared.value
+        rarity, basis, latent, labels, stands_for = shared.value
         k = min(NEIGHBOURS, len(labels))
-        prior = labels.mean()
         for batch in chunks(batches, "__text"):
             found = weigh(counts(*utf8(batch.column(batch.num_columns - 1))), rarity) @ basis
             norms = np.linalg.norm(found, axis=1, keepdims=True)
             found /= np.maximum(norms, 1e-12)
             best = np.full((len(found), 0), 0.0)
-            votes = np.full((len(found), 0), 0.0)
+            voters = np.full((len(found), 0), 0)
             for a in range(0, len(labels), BLOCK):
                 near = np.hstack([best, found @ latent[a : a + BLOCK].T])
-                said = np.hstack([votes, np.broadcast_to(labels[a : a + BLOCK], (len(found), len(labels[a : a + BLOCK])))])
+                who = np.hstack([voters, np.broadcast_to(np.arange(a, min(a + BLOCK, len(labels))), (len(found), min(BLOCK, len(labels) - a)))])
                 top = np.argpartition(-near, min(k, near.shape[1]) - 1, axis=1)[:, :k]
-                best, votes = np.take_along_axis(near, top, 1), np.take_along_axis(said, top, 1)
-            weights = np.maximum(best, 0) ** POWER
+                best, voters = np.take_along_axis(near, top, 1), np.take_along_axis(who, top, 1)
+            weights = np.maximum(best, 0) ** POWER * stands_for[voters]
             total = weights.sum(1)
-            scores = np.where((norms[:, 0] > 0) & (total > 0), (weights * votes).sum(1) / np.maximum(total, 1e-300), prior)
+            scores = np.where((norms[:, 0] > 0) & (total > 0), (weights * labels[voters]).sum(1) / np.maximum(total, 1e-300), prior)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(score, schema)

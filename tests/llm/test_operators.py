@@ -78,6 +78,16 @@ def test_quality_edges(spark, edges):
     assert quality.classify(edges.limit(0), labels, keep=["doc_id"]).isEmpty()
 
 
+def test_quality_keeps_shares(spark, monkeypatch):
+    """A label that is sampled weighs as much as all its rows: 16 rows of label 1 beside 4 of label 0."""
+    rows = [(i, "the same words in every text") for i in range(20)] + [(50, ""), (51, None), (52, "the same words in every text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 4)) for i in range(20)], "doc_id long, label int")
+    monkeypatch.setattr(quality, "PER_LABEL", 4)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels, keep=["doc_id"]).collect()}
+    assert all(abs(got[k] - 0.8) < 1e-9 for k in (50, 51, 52))
+
+
 def test_language_held_out(spark):
     got = QUERIES["op2_language"](spark, LARGER).where("held_out").join(spark.read.parquet(f"{LARGER}/documents.parquet"), "doc_id")
     assert got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.97
