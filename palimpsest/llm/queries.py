@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, paragraphs, pii, quality, repeats, secrets, warc
+from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, packing, paragraphs, pii, quality, repeats, secrets, warc
 from palimpsest.llm.sampling import fold
 from palimpsest.llm.text import prepare
 
@@ -138,6 +138,14 @@ def _(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op11_packing")
+def _(spark, sf_dir):
+    import public_tokenizers
+
+    cut_up = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    return packing.pack(cut_up.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 @query("op4_paragraphs")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
