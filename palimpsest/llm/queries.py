@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, negatives, packing, paragraphs, pii, quality, repeats, secrets, warc
+from palimpsest.llm import ann, bpe, decontaminate, jaccard, language, negatives, packing, paragraphs, pii, quality, repeats, secrets, spelling, warc
 from palimpsest.llm.sampling import fold
 from palimpsest.llm.text import prepare
 
@@ -168,6 +168,13 @@ def _(spark, sf_dir):
     return negatives.mine(rows, F.col("vec_id") % 50 == 0)
 
 
+@query("op12_spelling")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = spelling.count_words(docs, least=7, change=spelling.drop_letters("doc_id"), keep=["doc_id"])
+    return spelling.group_variants(words.where("n >= 2"))
+
+
 @query("op4_paragraphs")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
