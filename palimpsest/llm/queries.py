@@ -168,7 +168,26 @@ def _(spark, sf_dir):
     return negatives.mine(rows, F.col("vec_id") % 50 == 0)
 
 
-@query("op12_spelling")
+SPELLING_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+f AS (SELECT doc_id, w, count(*) AS k FROM d WHERE length(w) >= 7 GROUP BY 1, 2),
+b AS (SELECT *, list_concat(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':', ''), lambda x: ord(x)),
+  flatten(list_transform(string_split(w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + ord(x) // 64, 128 + ord(x) % 64] END)))::BIGINT[] AS bytes FROM f),
+h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+  lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) AS crc FROM b),
+v AS (SELECT CASE WHEN crc % 31 = 0 THEN left(w, (crc % length(w))::INTEGER) || substr(w, (crc % length(w))::INTEGER + 2) ELSE w END AS word, k FROM h),
+c AS (SELECT word, sum(k)::BIGINT AS n FROM v WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+g AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM c)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM g a JOIN g b ON a.i = b.i AND a.less = b.less AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT g.word, c.word, c.n FROM g JOIN c ON c.word = g.less UNION SELECT c.word, g.word, g.n FROM g JOIN c ON c.word = g.less),
+s AS (SELECT word, count(*) AS n_near, max(m) AS m, first(near ORDER BY m DESC, near) AS near FROM p GROUP BY 1),
+o AS (SELECT c.word, c.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * n THEN near END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM c LEFT JOIN s USING (word)),
+r(word, root, form) AS (SELECT word, word, form FROM o UNION ALL SELECT r.word, o.word, o.form FROM r JOIN o ON o.word = r.form)
+SELECT o.word, o.form, r.root, o.n, o.n_near, o.form_n FROM o JOIN r ON r.word = o.word AND r.form IS NULL
+"""
+
+
+@query("op12_spelling", SPELLING_SQL)
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = spelling.count_words(docs, least=7, change=spelling.drop_letters("doc_id"), keep=["doc_id"])
