@@ -37,6 +37,7 @@ DEPTH = 3
 CLASSES = 256
 BLOCK = 8192
 RANK_BITS = 48
+CHUNK = 1 << 22
 
 
 # Texts to pieces
@@ -52,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, keep: list[str], size: int = SIZE
 
     def run(batches):
         tokens = encoder(shared.value)
-        for batch in chunks(batches, "__text"):
+        for batch in chunks(batches, "__text", CHUNK):
             ids, offsets = tokens.encode(batch.column(batch.num_columns - 1))
             n = np.diff(offsets) + 1
             parts = -(-n // size)
