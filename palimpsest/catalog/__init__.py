@@ -1,6 +1,6 @@
 """The registered queries, by domain."""
 
-from palimpsest.catalog import evidence, history, observing, planning, requesting, transcripts  # noqa: F401
+from palimpsest.catalog import evidence, history, observing, planning, requesting, streams, transcripts  # noqa: F401
 from palimpsest.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

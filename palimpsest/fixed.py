@@ -89,6 +89,14 @@ FINISH_OUTCOME = {
     "proxy_interrupted": "interrupted",
 }
 MAX_COUNTER = 1_000_000_000_000
+MAX_TOOL_ID_BYTES = 512
+MAX_LABEL_BYTES = 128
+# Events of one response dialect, and states in which a response has failed.
+ANTHROPIC_EVENTS = [
+    "message", "message_start", "message_delta", "message_stop", "content_block_start", "content_block_delta",
+    "content_block_stop", "ping", "error",
+]
+FAILED_STATUS = ["failed", "incomplete", "cancelled", "canceled"]
 MAX_OBSERVED_MS = 8_640_000_000_000_000
 MAX_DURATION_MS = 31 * 86_400_000
 
