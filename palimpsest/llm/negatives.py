@@ -170,7 +170,7 @@ def find_negatives(block: Block, ids, labels, vectors, targets: np.ndarray, n_ta
 
 
 def _matrix(column, width: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), width)
 
 
 def _cells(table: pa.Table):
