@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from palimpsest import fixed
 from palimpsest.functions import variant as v
 from palimpsest.functions.hashes import fingerprint
 from palimpsest.functions.tokens import tokens_of_bytes
-from palimpsest.operators.ordered import exclusive_sums, last_known, line_levels
+from palimpsest.operators.ordered import exclusive_sums, last_known, line_levels, previous
 from palimpsest.plans.policy import KEYS
 from palimpsest.session import cut
 from palimpsest.sources.tables import ITEM_COLUMNS
@@ -71,57 +70,62 @@ def branch_links(records: DataFrame) -> DataFrame:
     )
 
 
-_LIVE = "provider string, session_id string, path string, line_index long, state string"
-
-
-def _walk_branch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Live lines of one file: from the leaf through parents on earlier lines to the root."""
-    pdf = pdf.sort_values("line_index")
-    keys = pdf.iloc[0][KEYS].tolist()
-
-    def out(state: str, lines) -> pd.DataFrame:
-        frame = pd.DataFrame({"line_index": pd.Series(list(lines) or [-1], dtype="int64")})
-        for i, k in enumerate(KEYS):
-            frame[k] = keys[i]
-        frame["state"] = state
-        return frame[KEYS + ["line_index", "state"]]
-
-    links = pdf[pdf["uuid"].notna()]
-    named = pdf["leaf"].dropna()
-    fallback = pdf["fallback"].dropna()
-    leaf = named.iloc[-1] if len(named) else (fallback.iloc[-1] if len(fallback) else None)
-    if pdf["invalid"].any():
-        return out("invalid_record", [])
-    if pdf["ambiguous"].any():
-        return out("invalid_ancestry", [])
-    if leaf is None:
-        return out("invalid_ancestry" if len(links) else "none", [])
-    if links["uuid"].duplicated().any():
-        return out("invalid_ancestry", [])
-    at = {
-        u: (int(line), p if isinstance(p, str) else None)
-        for u, line, p in zip(links["uuid"], links["line_index"], links["parent_uuid"])
-    }
-    live: list[int] = []
-    cursor = leaf
-    while cursor is not None:
-        if cursor not in at:
-            return out("invalid_ancestry", [])
-        line, parent = at[cursor]
-        if parent is not None and (parent not in at or at[parent][0] >= line):
-            return out("invalid_ancestry", [])
-        live.append(line)
-        cursor = parent
-    return out("live", sorted(live))
+def _linked_runs(links: DataFrame) -> DataFrame:
+    """Links by file number with their run: link after link, each the child of the one before. Only the first of a run may be ``_bad``."""
+    known = links.select("_file", F.col("uuid").alias("parent_uuid"), F.col("line_index").alias("_up"))
+    rows = links.join(known, ["_file", "parent_uuid"], "left")
+    good = F.col("parent_uuid").isNull() | F.coalesce(F.col("_up") < F.col("line_index"), F.lit(False))
+    rows = cut(rows.select("_file", "line_index", "_up", (~good).alias("_bad")), "links")
+    rows = previous(rows, ["_file"], line_levels(), {"_before": F.col("line_index")})
+    follows = ~F.col("_bad") & F.coalesce(F.col("_up") == F.col("_before"), F.lit(False))
+    return last_known(rows, ["_file"], line_levels(), {"_run": F.when(~follows, F.col("line_index"))})
 
 
 def live_lines(records: DataFrame) -> DataFrame:
     """Live lines of branch files with the state of each file.
 
-    One file is one task's group, with ids only.
+    A file's live lines lead from its leaf through parents, each on an earlier line, to a record without a parent. Records that follow one another
+    as child and parent are one run, found block by block; of a run, the lines up to the one it is entered at are live. From
+    run to run, pointer doubling reaches 2**k runs in round k: a file takes as many rounds as the binary
+    logarithm of its forks, whatever its length, and no task needs to hold it. Rounds are cut, so a lost executor costs a re-read.
     A file without live lines has one row with line -1.
     """
-    return branch_links(records).groupBy(*KEYS).applyInPandas(_walk_branch, _LIVE)
+    links = cut(branch_links(records), "branch-links")
+    twice = links.filter("uuid is not null").groupBy(*KEYS, "uuid").agg(F.count("*").alias("_n")).filter("_n > 1").select(*KEYS).distinct()
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_index")))
+    files = links.groupBy(*KEYS).agg(
+        F.bool_or("invalid").alias("_invalid"), F.bool_or("ambiguous").alias("_ambiguous"), F.count("uuid").alias("_links"),
+        F.coalesce(last("leaf"), last("fallback")).alias("_leaf"),
+    ).join(twice.withColumn("_twice", F.lit(True)), KEYS, "left")
+    state = (
+        F.when(F.col("_invalid"), "invalid_record").when(F.col("_ambiguous"), "invalid_ancestry")
+        .when(F.col("_leaf").isNull(), F.when(F.col("_links") > 0, "invalid_ancestry").otherwise("none"))
+        .when(F.col("_twice"), "invalid_ancestry")
+    )
+    files = cut(files.select(*KEYS, "_leaf", state.alias("state"), F.monotonically_increasing_id().alias("_file")), "files")
+    open_files = files.filter("state is null")
+    own = links.filter("uuid is not null").join(open_files.select(*KEYS, "_file", "_leaf"), KEYS)
+    rows = cut(_linked_runs(own.select("_file", "line_index", "uuid", "parent_uuid")), "runs")
+    leaf = own.filter(F.col("uuid") == F.col("_leaf")).select("_file", "line_index")
+    met = cut(rows.join(leaf, ["_file", "line_index"]).select("_file", "_run", F.col("line_index").alias("_entry")), "met")
+    start = rows.filter((F.col("line_index") == F.col("_run")) & ~F.col("_bad") & F.col("_up").isNotNull()).select("_file", "_run", F.col("_up").alias("_entry"))
+    goal = rows.select("_file", F.col("line_index").alias("_entry"), F.col("_run").alias("_next"))
+    jumps = cut(start.join(goal, ["_file", "_entry"]), "jumps")
+    while True:
+        further = cut(met.select("_file", "_run").join(jumps, ["_file", "_run"]).select("_file", F.col("_next").alias("_run"), "_entry"), "further")
+        if further.isEmpty():
+            break
+        met = met.unionByName(further)
+        second = jumps.select("_file", F.col("_run").alias("_next"), F.col("_next").alias("_to"), F.col("_entry").alias("_at"))
+        jumps = cut(jumps.join(second, ["_file", "_next"]).select("_file", "_run", F.col("_to").alias("_next"), F.col("_at").alias("_entry")), "jumps")
+    live = cut(rows.join(met, ["_file", "_run"]).filter(F.col("line_index") <= F.col("_entry")).select("_file", "line_index", "_bad"), "live-lines")
+    sound = live.groupBy("_file").agg(F.bool_or("_bad").alias("_bad"))
+    judged = files.join(sound, "_file", "left").withColumn(
+        "state", F.coalesce("state", F.when(F.col("_bad") == F.lit(False), "live").otherwise("invalid_ancestry"))
+    )
+    lines = judged.filter("state = 'live'").select("_file", *KEYS, "state").join(live.select("_file", "line_index"), "_file")
+    without = judged.filter("state <> 'live'").select(*KEYS, F.lit(-1).cast("long").alias("line_index"), "state")
+    return lines.select(*KEYS, "line_index", "state").unionByName(without)
 
 
 # --- branch dialect ------------------------------------------------------------------------
