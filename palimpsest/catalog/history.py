@@ -304,17 +304,11 @@ def _(spark, sf_dir):
 
 def benchmark_checks(spark, sf_dir):
     """Benchmark passages as checks of every language; they name no record."""
-    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("session_id")).distinct()
-    bench = table(spark, sf_dir, "benchmark")
-    per = F.broadcast(langs.groupBy().agg(F.collect_set("session_id").alias("s")))
-    one = F.lit(1).alias("_one")
-    return (
-        bench.select("*", one).join(per.select("*", one), "_one")
-        .select(
-            F.explode("s").alias("session_id"), F.col("item_id").cast("string").alias("id"),
-            F.lit("fact").alias("kind"), F.col("item_id").alias("record"), F.lit("/content").alias("pointer"),
-            F.lit("tool").alias("origin"), F.lit(False).alias("elidable"), "text",
-        )
+    langs = table(spark, sf_dir, "documents").groupBy().agg(F.array_sort(F.collect_set("lang")).alias("s"))
+    return table(spark, sf_dir, "benchmark").select(
+        F.explode(langs.scalar()).alias("session_id"), F.col("item_id").cast("string").alias("id"),
+        F.lit("fact").alias("kind"), F.col("item_id").alias("record"), F.lit("/content").alias("pointer"),
+        F.lit("tool").alias("origin"), F.lit(False).alias("elidable"), "text",
     )
 
 
@@ -332,18 +326,73 @@ WORDS = (
 )
 
 
+# A check's session, id, text and words; a text's session and words; what they have to do with each other; and all that is told of it.
+_Z, _Z2 = "1.959963984540054", "3.841458820694124"
+
+
+def _wilson(k: str, sign: str) -> str:
+    p = f"({k}::DOUBLE / total)"
+    bound = f"(({p} + {_Z2} / (total * 2.0)) {sign} {_Z} * sqrt(({p} * (1.0 - {p}) + {_Z2} / (total * 4.0)) / total)) / (1.0 + {_Z2} / total)"
+    return f"greatest({bound}, 0.0)" if sign == "-" else f"least({bound}, 1.0)"
+
+
+HITS = """h AS (SELECT c.session_id, c.id, c.kind, c.elidable, coalesce(bool_or(contains(d.text, c.text)), false) AS lit, coalesce(bool_or(len(c.w) > 0 AND len(list_intersect(c.w, d.w)) >= len(c.w) * 0.75), false) AS lex,
+  coalesce(bool_or(contains(d.text, c.text) AND c.origin = d.origin), false) AS own, coalesce(bool_or(contains(d.text, c.text) AND c.origin = d.origin AND c.record = d.record), false) AS src
+  FROM c LEFT JOIN d USING (session_id) GROUP BY 1, 2, 3, 4)
+"""
+SCORES = f"""t AS (SELECT session_id, count(*) AS total, count(*) FILTER (lit) AS retained, count(*) FILTER (lex) AS lexical_retained, count(*) FILTER (own) AS same_origin_retained,
+  count(*) FILTER (src) AS source_bound_retained, count(*) FILTER (elidable) AS elidable_total, count(*) FILTER (elidable AND src) AS elidable_retained,
+  coalesce(list(id ORDER BY id) FILTER (NOT src), []) AS missing_ids FROM h GROUP BY 1)
+SELECT *, retained / total AS literal_recall, lexical_retained / total AS lexical_recall, {_wilson("retained", "-")} AS literal_low, {_wilson("retained", "+")} AS literal_high,
+  {_wilson("lexical_retained", "-")} AS lexical_low, {_wilson("lexical_retained", "+")} AS lexical_high FROM t"""
+
+
 @query(
     "retention",
-    f"""WITH c AS (SELECT l.lang AS session_id, item_id, text, {WORDS} AS w FROM benchmark, (SELECT DISTINCT lang FROM documents) l),
-d AS (SELECT lang AS session_id, text, {WORDS} AS w FROM documents),
-h AS (SELECT c.session_id, item_id, bool_or(contains(d.text, c.text)) AS lit, bool_or(len(c.w) > 0 AND len(list_intersect(c.w, d.w)) >= len(c.w) * 0.75) AS lex FROM c JOIN d USING (session_id) GROUP BY 1, 2)
-SELECT session_id, count(*) AS total, count(*) FILTER (lit) AS retained, count(*) FILTER (lex) AS lexical_retained FROM h GROUP BY 1""",
+    f"""WITH c AS (SELECT l.lang AS session_id, item_id::VARCHAR AS id, 'fact' AS kind, false AS elidable, item_id AS record, 'tool' AS origin, text, {WORDS} AS w FROM benchmark, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) l),
+d AS (SELECT lang AS session_id, doc_id AS record, 'tool' AS origin, text, {WORDS} AS w FROM documents),
+{HITS}, {SCORES}""",
 )
 def _(spark, sf_dir):
     hits = rt.check_hits(benchmark_checks(spark, sf_dir), document_texts(spark, sf_dir), ["session_id"])
-    return rt.score_retention(hits, ["session_id"]).select(
-        "session_id", "total", "retained", "lexical_retained"
+    return rt.score_retention(hits, ["session_id"])
+
+
+LINE_CHECKS = f"""l AS (SELECT lang AS session_id, doc_id, unnest(regexp_split_to_array(text, chr(10))) AS line, source FROM documents WHERE doc_id % 20 = 0 AND lang IS NOT NULL),
+c AS (SELECT session_id, sha256(line) AS id, CASE min(doc_id) % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'procedure' ELSE 'constraint' END AS kind, min(doc_id) % 2 = 0 AS elidable, min(doc_id) AS record,
+  CASE WHEN min(doc_id) % 7 = 0 THEN 'user' ELSE 'tool' END AS origin, line AS text, {WORDS.replace("text", "line")} AS w FROM l WHERE trim(line) <> '' GROUP BY session_id, line),
+d AS (SELECT lang AS session_id, doc_id AS record, CASE WHEN doc_id % 7 = 0 THEN 'user' ELSE 'tool' END AS origin, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'E') ELSE text END AS text FROM documents),
+e AS (SELECT *, {WORDS} AS w FROM d WHERE record % 5 <> 0)
+"""
+
+
+def line_hits(spark, sf_dir):
+    """Each distinct line of some documents as a check, over what a rewrite keeps: a fifth of all documents is gone, a third changed."""
+    docs = table(spark, sf_dir, "documents").filter("lang is not null")
+    origin = lambda c: F.when(c % 7 == 0, "user").otherwise("tool")
+    lines = docs.filter("doc_id % 20 = 0").select(F.col("lang").alias("session_id"), "doc_id", F.explode(F.split("text", "\n")).alias("text")).filter("trim(text) <> ''")
+    checks = lines.groupBy("session_id", "text").agg(F.min("doc_id").alias("record")).select(
+        "session_id", F.sha2("text", 256).alias("id"), F.element_at(F.array(F.lit("fact"), F.lit("procedure"), F.lit("constraint")), (F.col("record") % 3 + 1).cast("int")).alias("kind"),
+        (F.col("record") % 2 == 0).alias("elidable"), "record", F.lit("/content").alias("pointer"), origin(F.col("record")).alias("origin"), "text",
+    )
+    texts = docs.filter("doc_id % 5 <> 0").select(
+        F.col("lang").alias("session_id"), F.col("doc_id").alias("record"), F.lit("/content").alias("pointer"), origin(F.col("doc_id")).alias("origin"),
+        F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.col("text")).alias("text"),
     )
+    return rt.check_hits(checks, texts, ["session_id"])
+
+
+@query("retention_lines", f"WITH {LINE_CHECKS}, {HITS.replace('JOIN d ', 'JOIN e AS d ')}, {SCORES}")
+def _(spark, sf_dir):
+    return rt.score_retention(line_hits(spark, sf_dir), ["session_id"])
+
+
+@query(
+    "retention_kinds",
+    f"WITH {LINE_CHECKS}, {HITS.replace('JOIN d ', 'JOIN e AS d ')} SELECT session_id, kind, count(*) AS total, count(*) FILTER (src) AS source_bound_retained, count(*) FILTER (lex) AS lexical_retained FROM h GROUP BY 1, 2",
+)
+def _(spark, sf_dir):
+    return rt.retention_by_kind(line_hits(spark, sf_dir), ["session_id"])
 
 
 @query("knowledge_checks")
