@@ -3,23 +3,20 @@
 A card takes the first eight texts of four classes and the eight smallest tool names
 of the chosen rows, so its size depends on the choice and the choice on its size.  The
 rows above the floor are chosen whatever the card; a card is bounded, so only the rows
-just under the floor are open.  The rows above are reduced with Spark to what a card
-can show, and the open rows, whose number the card's bound limits, are walked per
-session.
+just under the floor are open.  A choice is a number of rows in walk order.  Either all sessions weigh their
+cards together and move on by set steps, or each open row is an option with the cost of its card, from
+running sums of what every row adds to the card's lists, and the choice is a minimum over options.
 """
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest import fixed
 from palimpsest.functions.text import cut_bytes
-from palimpsest.operators.ordered import newest
+from palimpsest.operators.ordered import block, exclusive_sums, line_levels, newest
 from palimpsest.plans.base import Plans
 from palimpsest.plans.policy import KEYS
 from palimpsest.session import cut
@@ -38,133 +35,143 @@ CARD_TYPE = T.StructType(
     ]
 )
 
-_WALK_TYPE = T.StructType(
-    [
-        *[T.StructField(k, T.StringType()) for k in KEYS],
-        T.StructField("card", CARD_TYPE),
-        T.StructField("overhead", T.LongType()),
-        T.StructField("tokens_after", T.LongType()),
-        T.StructField("extra_lines", T.ArrayType(T.LongType())),
-    ]
-)
-
-
 def goal_summary(goal: str | Column) -> Column:
     """The goal, trimmed and cut to 120 bytes."""
     goal = F.col(goal) if isinstance(goal, str) else goal
     return cut_bytes(F.trim(goal), 120, 117, "...")
 
 
-def overhead_tokens(size: int) -> int:
-    return max(-(-size // fixed.BYTES_PER_TOKEN), 1)
+def _size(text: str | Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def _size(text: str | None) -> int:
-    return len(text.encode()) if text is not None else 0
+def _smallest(rows: DataFrame, part: list[str], order: list[str]) -> DataFrame:
+    """``_m0`` to ``_m7``: the smallest (k, size) so far, in order, on each row.
 
+    What a row brings competes with the smallest so far; the greater of the two goes on to compete for the next place, and so on. Each place is a running
+    minimum, so one sorted pass finds all eight.
+    """
+    over = f"(PARTITION BY {', '.join(part)} ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND {{}})"
+    query = "SELECT *, struct(k, size) AS _x0 FROM {rows}"
+    for i in range(fixed.CARD_LIST_MAX):
+        held = f"min(_x{i}) OVER {over.format('1 PRECEDING')}"
+        query = f"SELECT *, min(_x{i}) OVER {over.format('CURRENT ROW')} AS _m{i}, {held} AS _h{i} FROM ({query})"
+        query = f"SELECT *, if(_h{i} IS NULL OR _x{i} IS NULL, NULL, greatest(_h{i}, _x{i})) AS _x{i + 1} FROM ({query})"
+    names = ", ".join([*rows.columns, *[f"_m{i}" for i in range(fixed.CARD_LIST_MAX)]])
+    return rows.sparkSession.sql(f"SELECT {names} FROM ({query})", rows=rows)
 
-class _Card:
-    """The card of a growing choice."""
 
-    def __init__(self, head: pd.Series):
-        self.goal = head["goal"]
-        self.summary = head["goal_summary"]
-        self.work = head["current_work"]
-        self.context = f"provider: {head['provider']}"
-        self.covered = int(head["covered"])
-        self.concepts: list[str] = []
-        self.lists: dict[str, list[tuple[int, str]]] = {name: [] for name in LISTS}
+def _list_growth(base: DataFrame, opened: DataFrame, part: list[str]) -> DataFrame:
+    """``part``, place and ``growth``: by how many bytes the eight smallest of a list grow when an open row joins those before it.
 
-    def show(self, tool, name, line, text) -> None:
-        if isinstance(tool, str) and tool and tool not in self.concepts:
-            bisect.insort(self.concepts, tool)
-            del self.concepts[fixed.CARD_LIST_MAX :]
-        if isinstance(name, str):
-            rows = self.lists[name]
-            bisect.insort(rows, (int(line), text))
-            del rows[fixed.CARD_LIST_MAX :]
+    ``base``: part, k, size, the list at the outset; ``opened``: part, place, k, size. Rows are windowed by blocks of places; a block starts with
+    the eight smallest of all before it, which are found from the eight smallest of each block.
+    """
+    blocks = [*part, "_block"]
+    rows = opened.withColumn("_block", block("place") + 1)
+    every = rows.select(*blocks, "k", "size").unionByName(base.withColumn("_block", F.lit(0).cast("long")).select(*blocks, "k", "size"))
+    tops = newest(every, blocks, [F.col("k")], fixed.CARD_LIST_MAX).drop("_rank")
+    levels = F.array_compact(F.array(*[F.col(f"_m{i}") for i in range(fixed.CARD_LIST_MAX)]))
+    ends = _smallest(tops, part, ["_block", "k"]).groupBy(*blocks).agg(F.max_by(levels, "k").alias("_list"))
+    starts = ends.withColumn("_list", F.lag("_list").over(Window.partitionBy(*part).orderBy("_block"))).filter("_block > 0")
+    carried = starts.select(*blocks, F.explode("_list").alias("e")).select(*blocks, F.lit(-1).cast("long").alias("place"), "e.k", "e.size")
+    order = ["place", "k"]
+    both = _smallest(rows.select(*blocks, "place", "k", "size").unionByName(carried), blocks, order)
+    total = sum((F.coalesce(F.col(f"_m{i}.size"), F.lit(0)) for i in range(1, fixed.CARD_LIST_MAX)), F.col("_m0.size"))
+    both = both.withColumn("_total", total)
+    was = F.coalesce(F.lag("_total").over(Window.partitionBy(*blocks).orderBy(*order)), F.lit(0))
+    return both.withColumn("growth", F.col("_total") - was).filter("place >= 0").select(*part, "place", "growth")
 
-    def summary_text(self) -> str:
-        if self.summary is not None:
-            return self.summary
-        return f"{fixed.CARD_NAME} covering {self.covered} elided items"
 
-    def overhead(self) -> int:
-        size = fixed.CARD_BASE_BYTES + sum(
-            _size(t) for t in (self.goal, self.summary_text(), self.work, self.context)
-        )
-        size += sum(_size(t) for t in self.concepts)
-        size += sum(_size(t) for rows in self.lists.values() for _, t in rows)
-        return overhead_tokens(size)
-
-    def row(self) -> dict:
-        return {
-            "goal": self.goal,
-            "summary": self.summary_text(),
-            "concepts": list(self.concepts),
-            **{name: [t for _, t in rows] for name, rows in self.lists.items()},
-            "current_work": self.work,
-            "context": self.context,
-            "covers_items": self.covered,
-        }
-
-
-def _walk(one_by_one: bool):
-    """The walk over a session's open rows.
-
-    ``one_by_one`` takes one row per look at the card; otherwise each look sets a new
-    target under the floor and rows are taken until it is met.
+def _by_line() -> Column:
+    return F.struct(F.col("line_index").alias("line"), F.lit("").alias("name")).alias("k")
+
+
+def _by_name() -> Column:
+    return F.struct(F.lit(0).cast("long").alias("line"), F.col("tool").alias("name")).alias("k")
+
+
+LIST = [*KEYS, "card_class"]
+
+
+def _entries(rows: DataFrame, *more: str) -> DataFrame:
+    """What rows bring to a card's lists: texts by line, and tool names by name, each at its first place."""
+    place = [F.min(c).alias(c) for c in more] or [F.lit(0).alias("_")]
+    named = rows.filter("tool <> ''").groupBy(*KEYS, "tool").agg(*place)
+    return rows.select(*LIST, *more, _by_line(), _size("text").alias("size")).unionByName(
+        named.select(*KEYS, F.lit("concepts").alias("card_class"), *more, _by_name(), _size("tool").alias("size"))
+    )
+
+
+def _open(rows: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where each session starts (KEYS, taken, left), its card's lists there, and the rows it may still take."""
+    base = rows.join(heads.select(*KEYS, "floor_tokens", "_low"), KEYS)
+    settled = base.filter(F.col("remaining") > F.col("floor_tokens"))
+    # A card's bound says which rows it can never take. Where it may exceed the floor itself, every row is open.
+    opened = base.filter(
+        (F.col("remaining") <= F.col("floor_tokens")) & ((F.col("remaining") > F.col("_low")) | (F.col("_low") <= 0))
+    )
+    opened = cut(opened.select(*LIST, "line_index", "text", "tool", "place", _after().alias("left")), "open")
+    listed = newest(settled, LIST, [F.col("line_index")], fixed.CARD_LIST_MAX).select(*LIST, _by_line(), _size("text").alias("size"))
+    named = newest(settled.filter("tool <> ''").select(*KEYS, "tool").distinct(), KEYS, [F.col("tool")], fixed.CARD_LIST_MAX)
+    held = cut(listed.unionByName(named.select(*KEYS, F.lit("concepts").alias("card_class"), _by_name(), _size("tool").alias("size"))), "card-lists")
+    start = cut(settled.groupBy(*KEYS).agg(F.count("*").alias("taken"), F.min(_after()).alias("left")), "start")
+    return start, held, opened
+
+
+def _cost(lists: Column, taken: Column) -> Column:
+    """Tokens of a card, from the bytes of its lists."""
+    size = lists + F.col("_fixed") + _size(_summary(F.col("goal_summary"), taken))
+    return F.greatest(F.ceil(size / fixed.BYTES_PER_TOKEN), F.lit(1)).cast("long")
+
+
+def _first_fit(start: DataFrame, held: DataFrame, opened: DataFrame, heads: DataFrame) -> DataFrame:
+    """KEYS, taken, left, cost: the first number of rows that fits together with its card, else all."""
+    new = _entries(opened, "place").join(held.select(*LIST, "k"), [*LIST, "k"], "left_anti")
+    growth = _list_growth(held, new, LIST).groupBy(*KEYS, "place").agg(F.sum("growth").alias("_growth"))
+    sized = exclusive_sums(opened.select(*KEYS, "place", "left").join(growth, [*KEYS, "place"], "left"), KEYS, line_levels("place"), {"_grown": F.col("_growth")})
+    first = start.join(held.groupBy(*KEYS).agg(F.sum("size").alias("_held")), KEYS, "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    first = cut(first, "first")
+    grown = F.col("_held") + F.col("_grown") + F.coalesce("_growth", F.lit(0))
+    later = sized.join(first.select(*KEYS, "_held"), KEYS).select(*KEYS, (F.col("place") + 1).alias("taken"), "left", grown.alias("_lists"))
+    told = first.select(*KEYS, "taken", "left", F.col("_held").alias("_lists")).unionByName(later).join(heads.select(*KEYS, "floor_tokens", "_fixed", "goal_summary"), KEYS)
+    option = F.struct("taken", "left", _cost(F.col("_lists"), F.col("taken")).alias("cost"))
+    fits = option["left"] + option["cost"] <= F.col("floor_tokens")
+    return told.groupBy(*KEYS).agg(F.coalesce(F.min(F.when(fits, option)), F.max(option)).alias("o")).select(*KEYS, "o.*")
+
+
+def _by_steps(start: DataFrame, held: DataFrame, opened: DataFrame, heads: DataFrame) -> DataFrame:
+    """KEYS, taken, left, cost: a session takes what its present card costs, until it fits or nothing is left to take.
+
+    Each step weighs the cards of all sessions that still move, from the eight first of each list; sessions move together, and few move more than twice.
     """
+    own = heads.select(*KEYS, "floor_tokens", "_fixed", "goal_summary")
+    state, done = start, None
+    while True:
+        taken = _entries(opened.join(state.select(*KEYS, "taken"), KEYS).filter(F.col("place") < F.col("taken")))
+        lists = held.join(state.select(*KEYS), KEYS, "left_semi").unionByName(taken).distinct()
+        weight = newest(lists, LIST, [F.col("k")], fixed.CARD_LIST_MAX).groupBy(*KEYS).agg(F.sum("size").alias("_lists"))
+        now = state.join(own, KEYS).join(weight, KEYS, "left").withColumn("cost", _cost(F.coalesce("_lists", F.lit(0)), F.col("taken")))
+        now = cut(now.select(*KEYS, "taken", "left", "cost", "floor_tokens", F.greatest(F.col("floor_tokens") - F.col("cost"), F.lit(0)).alias("_room")), "weighed")
+        option = F.struct((F.col("place") + 1).alias("taken"), "left")
+        ahead = opened.join(now.select(*KEYS, "taken", "_room"), KEYS).filter(F.col("place") >= F.col("taken")).groupBy(*KEYS).agg(
+            F.coalesce(F.min(F.when(F.col("left") <= F.col("_room"), option)), F.max(option)).alias("_next")
+        )
+        still = (F.col("left") + F.col("cost") <= F.col("floor_tokens")) | (F.col("left") <= F.col("_room")) | F.col("_next").isNull()
+        moved = cut(now.join(ahead, KEYS, "left").withColumn("_still", still), "moved")
+        stay = moved.filter("_still").select(*KEYS, "taken", "left", "cost")
+        done = stay if done is None else done.unionByName(stay)
+        state = moved.filter(~F.col("_still")).select(*KEYS, "_next.*")
+        if state.isEmpty():
+            return done
+
+
+def _after() -> Column:
+    return F.greatest(F.col("remaining") - F.col("savings"), F.lit(0))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        head = pdf[pdf["part"] == "head"]
-        if head.empty:
-            return pd.DataFrame(columns=[f.name for f in _WALK_TYPE.fields])
-        head = head.iloc[0]
-        card = _Card(head)
-        for r in pdf[pdf["part"] == "shown"].itertuples(index=False):
-            card.show(r.tool, r.card_class, r.line_index, r.text)
-        opened = pdf[pdf["part"] == "open"].sort_values("place", kind="stable")
-        rows = list(opened.itertuples(index=False))
-        floor = int(head["floor_tokens"])
-        after_last = int(head["after_last"])
-        taken: list[int] = []
-        at = 0
-
-        def projected() -> int:
-            return int(rows[at].remaining) if at < len(rows) else after_last
-
-        def take() -> None:
-            nonlocal at
-            r = rows[at]
-            at += 1
-            taken.append(int(r.line_index))
-            card.covered += 1
-            card.show(r.tool, r.card_class, r.line_index, r.text)
-
-        while True:
-            cost = card.overhead()
-            if projected() + cost <= floor or at == len(rows):
-                break
-            if one_by_one:
-                take()
-                continue
-            target = max(floor - cost, 0)
-            if projected() <= target:
-                break
-            while at < len(rows) and projected() > target:
-                take()
-        out = {k: head[k] for k in KEYS}
-        out |= {
-            "card": card.row(),
-            "overhead": cost,
-            "tokens_after": projected() + cost,
-            "extra_lines": taken,
-        }
-        return pd.DataFrame([out])
-
-    return walk
+
+def _summary(goal_summary: Column, taken: Column) -> Column:
+    return F.coalesce(goal_summary, F.concat(F.lit(f"{fixed.CARD_NAME} covering "), taken.cast("string"), F.lit(" elided items")))
 
 
 def choose_with_card(
@@ -179,6 +186,7 @@ def choose_with_card(
 
     ``ranked`` has the candidates with ``remaining`` (context left before the row is
     taken) and ``place`` (its number in walk order).  A session whose context is at or under the floor has no plan.
+    ``one_by_one`` takes the first option that fits with its card; otherwise a session moves by what its present card costs.
     """
     rows = cut(
         ranked.select(
@@ -186,101 +194,52 @@ def choose_with_card(
         ),
         "ranked",
     )
-    scope = sessions.select(
-        *KEYS, "context_tokens", "floor_tokens", "goal", "current_work",
-    )
+    scope = sessions.select(*KEYS, "context_tokens", "floor_tokens", "goal", "current_work")
     # Most bytes a card of this session can have: every list full of its longest text.
-    bounds = rows.groupBy(*KEYS).agg(
-        F.max(F.octet_length("text")).alias("_text"),
-        F.max(F.octet_length("tool")).alias("_tool"),
-        F.sum("savings").alias("_all"),
+    bounds = rows.groupBy(*KEYS).agg(F.max(F.octet_length("text")).alias("_text"), F.max(F.octet_length("tool")).alias("_tool"))
+    context = F.concat(F.lit("provider: "), F.col("provider"))
+    heads = scope.join(bounds, KEYS).withColumn("goal_summary", goal_summary("goal")).withColumn(
+        "_fixed", fixed.CARD_BASE_BYTES + _size("goal") + _size("current_work") + _size(context)
     )
-    heads = scope.join(bounds, KEYS).withColumn(
-        "_card_bound",
-        F.expr("128L")
-        + 8 * (4 * F.col("_text") + F.col("_tool"))
-        + 2 * F.coalesce(F.octet_length("goal"), F.lit(0))
-        + F.coalesce(F.octet_length("current_work"), F.lit(0))
-        + F.octet_length("provider")
-        + 64,
+    most = F.col("_fixed") + _size("goal_summary") + 64 + 8 * (4 * _size_of("_text") + _size_of("_tool"))
+    heads = cut(heads.withColumn("_low", F.col("floor_tokens") - F.ceil(most / 4)), "heads")
+    option = cut((_first_fit if one_by_one else _by_steps)(*_open(rows, heads), heads), "settled")
+    chosen = cut(rows.join(option.select(*KEYS, "taken"), KEYS).filter(F.col("place") < F.col("taken")), "chosen-rows")
+    listed = newest(chosen, [*KEYS, "card_class"], [F.col("line_index")], fixed.CARD_LIST_MAX)
+    entries = F.sort_array(F.collect_list(F.when(F.col("_class").isNotNull(), F.struct("_class", "_line", "_entry"))))  # eight of each class at most
+    named = newest(chosen.filter("tool <> ''").select(*KEYS, "tool").distinct(), KEYS, [F.col("tool")], fixed.CARD_LIST_MAX)
+    shown = listed.select(*KEYS, F.col("card_class").alias("_class"), F.col("line_index").alias("_line"), F.col("text").alias("_entry")).unionByName(
+        named.select(*KEYS, F.lit("concepts").alias("_class"), F.col("_rank").cast("long").alias("_line"), F.col("tool").alias("_entry"))
+    ).groupBy(*KEYS).agg(entries.alias("_shown"))
+
+    def entry(name: str) -> Column:
+        return F.transform(F.filter("_shown", lambda e: e["_class"] == name), lambda e: e["_entry"]).alias(name)
+
+    card = F.struct(
+        F.col("goal"), _summary(F.col("goal_summary"), F.col("taken")).alias("summary"), entry("concepts"), *[entry(n) for n in LISTS],
+        F.col("current_work"), context.alias("context"), F.col("taken").alias("covers_items"),
+    ).cast(CARD_TYPE)
+    edits = chosen.select(
+        *KEYS, F.lit(strategy).alias("strategy"), F.lit("elide").alias("op"), "line_index", "savings", F.lit(stub).alias("stub"),
     )
-    heads = heads.withColumn("_low", F.col("floor_tokens") - F.ceil(F.col("_card_bound") / 4))
-    base = rows.join(heads.select(*KEYS, "floor_tokens", "_low"), KEYS)
-    chosen = base.filter(F.col("remaining") > F.col("floor_tokens"))
-    # When the card may exceed the floor itself, every later row is open.
-    opened = base.filter(
-        (F.col("remaining") <= F.col("floor_tokens"))
-        & ((F.col("remaining") > F.col("_low")) | (F.col("_low") <= 0))
-    )
-    # Rows under the bound are never taken; the first of them gives the context left.
-    below = base.filter((F.col("remaining") <= F.col("_low")) & (F.col("_low") > 0))
-    rest = below.groupBy(*KEYS).agg(F.max("remaining").alias("_next"))
-    counted = chosen.groupBy(*KEYS).agg(F.count("*").alias("covered"))
-    head = (
-        heads.join(counted, KEYS)
-        .join(rest, KEYS, "left")
-        .select(
-            *KEYS,
-            F.lit("head").alias("part"),
-            "floor_tokens",
-            F.coalesce(
-                "_next", F.greatest(F.col("context_tokens") - F.col("_all"), F.lit(0))
-            ).alias("after_last"),
-            "covered",
-            "goal",
-            goal_summary("goal").alias("goal_summary"),
-            "current_work",
-        )
-    )
-    listed = newest(chosen, KEYS + ["card_class"], [F.col("line_index")], fixed.CARD_LIST_MAX)
-    shown = listed.select(*KEYS, F.lit("shown").alias("part"), "line_index", "card_class", "text")
-    named = newest(
-        chosen.filter(F.col("tool") != "").select(*KEYS, "tool").distinct(),
-        KEYS,
-        [F.col("tool")],
-        fixed.CARD_LIST_MAX,
-    ).select(*KEYS, F.lit("shown").alias("part"), "tool")
-    open_rows = opened.select(
-        *KEYS, F.lit("open").alias("part"), "line_index", "card_class", "text", "tool", "remaining",
-        "place",
-    )
-    parts = head
-    for part in (shown, named, open_rows):
-        parts = parts.unionByName(part, allowMissingColumns=True)
-    walked = cut(parts.groupBy(*KEYS).applyInPandas(_walk(one_by_one), _WALK_TYPE), "cards")
-    extra = walked.select(*KEYS, F.explode("extra_lines").alias("line_index")).join(
-        rows.select(*KEYS, "line_index", "savings"), KEYS + ["line_index"]
-    )
-    edits = (
-        chosen.select(*KEYS, "line_index", "savings")
-        .unionByName(extra.select(*KEYS, "line_index", "savings"))
-        .select(
-            *KEYS,
-            F.lit(strategy).alias("strategy"),
-            F.lit("elide").alias("op"),
-            "line_index",
-            "savings",
-            F.lit(stub).alias("stub"),
-        )
-    )
-    firsts = edits.groupBy(*KEYS).agg(F.min("line_index").alias("first_line"))
-    plans = (
-        walked.join(firsts, KEYS)
-        .join(scope.select(*KEYS, "context_tokens"), KEYS)
-        .select(
-            *KEYS,
-            F.lit(strategy).alias("strategy"),
-            F.col("context_tokens").alias("tokens_before"),
-            "tokens_after",
-            F.col("card.covers_items").alias("edits"),
-            "first_line",
-            "overhead",
-            "card",
-        )
+    firsts = chosen.groupBy(*KEYS).agg(F.min("line_index").alias("first_line"))
+    plans = heads.join(option, KEYS).join(firsts, KEYS).join(shown, KEYS, "left").select(
+        *KEYS,
+        F.lit(strategy).alias("strategy"),
+        F.col("context_tokens").alias("tokens_before"),
+        (F.col("left") + F.col("cost")).alias("tokens_after"),
+        F.col("taken").alias("edits"),
+        "first_line",
+        F.col("cost").alias("overhead"),
+        card.alias("card"),
     )
     return Plans(plans, edits)
 
 
+def _size_of(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0))
+
+
 def render_card(card: str | Column, marker: str = fixed.CARD_MARKER) -> Column:
     """A card as text: the marker, one line per entry, and how many records it covers."""
     c = F.col(card) if isinstance(card, str) else card

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import fixed
+from palimpsest.operators import ordered
 from palimpsest.operators.totals import session_totals
 from palimpsest.plans.base import prepare
+from palimpsest.plans import card
 from palimpsest.plans.card import parse_card, render_card
 from palimpsest.plans.planners import STRATEGIES, plan_scored
 from palimpsest.plans.policy import KEYS, Policy, with_policy
@@ -92,30 +94,72 @@ def candidates(items, name):
     return [i for i in free if i[13] is not None and newest[i[8], i[13]] != i[3]]
 
 
+def choice(lefts, costs, floor, one_by_one=False):
+    """How many rows are taken, from the context left and the card's cost after 0, 1, 2, ... rows; None without any."""
+    first = next((n for n, left in enumerate(lefts) if left <= floor), len(lefts) - 1)
+    if first == 0:
+        return None
+    numbers = range(first, len(lefts))
+    if one_by_one:
+        return next((n for n in numbers if lefts[n] + costs[n] <= floor), len(lefts) - 1)
+    now = first
+    while lefts[now] + costs[now] > floor:
+        room = max(floor - costs[now], 0)
+        ahead = next((n for n in numbers if n >= now and lefts[n] <= room), len(lefts) - 1)
+        if ahead == now:
+            break
+        now = ahead
+    return now
+
+
 def expected(items, name):
     context = sum(i[5] for i in items)
     todo = candidates(items, name)
     if context < POLICY.trigger_tokens:
         return None
-    left, taken = context, []
-
-    def take_until(target):
-        nonlocal left
-        while left > target and len(taken) < len(todo):
-            left = max(left - savings(todo[len(taken)]), 0)
-            taken.append(todo[len(taken)][3])
-
-    take_until(POLICY.floor_tokens)
-    if not taken:
-        return None
-    while True:
-        cost = card_tokens(items, set(taken))
-        count = len(taken)
-        if left + cost <= POLICY.floor_tokens or count == len(todo):
-            return sorted(taken), left + cost
-        take_until(max(POLICY.floor_tokens - cost, 0))
-        if len(taken) == count:
-            return sorted(taken), left + cost
+    lefts = [max(context - sum(savings(i) for i in todo[:n]), 0) for n in range(len(todo) + 1)]
+    costs = [card_tokens(items, {i[3] for i in todo[:n]}) for n in range(len(todo) + 1)]
+    n = choice(lefts, costs, POLICY.floor_tokens)
+    return None if n is None else (sorted(i[3] for i in todo[:n]), lefts[n] + costs[n])
+
+
+@pytest.mark.parametrize("size", [3, ordered.BLOCK])
+@pytest.mark.parametrize("one_by_one", [False, True])
+def test_choice_in_any_order(spark, monkeypatch, one_by_one, size):
+    """Rows in an order unlike that of their lines; floors from above the context to below any card."""
+    monkeypatch.setattr(card, "block", lambda c: ordered.block(c, size))
+    monkeypatch.setattr(card, "line_levels", lambda c: ordered.line_levels(c, size))
+    rng = random.Random(size + one_by_one)
+    scope, rows, want = [], [], {}
+    for s in range(60):
+        key, context, floor = (fixed.BRANCH, f"s{s}", "p"), rng.randint(500, 3000), rng.choice([10, 60, 100, 200, 400, 1000, 4000])
+        goal, work = rng.choice([None, "g", " goal " * 40]), rng.choice([None, "w" * 50])
+        lines = rng.sample(range(1000), rng.randint(1, 45))
+        told = [(n, rng.randint(0, 120), rng.choice(["", None, "a", "bb", "ccc", *[f"tool{i}" for i in range(12)]]), rng.choice(card.LISTS[:3]), rng.choice([None, "x" * rng.randint(1, 60), "é" * 9])) for n in lines]
+        lefts, costs, left = [context], [], context
+        for n in range(len(told) + 1):
+            texts = [t[4] for c in card.LISTS for t in sorted((t for t in told[:n] if t[3] == c), key=lambda t: t[0])[:8]]
+            names = sorted({t[2] for t in told[:n]} - {"", None})[:8]
+            raw = (goal or "").strip().encode()
+            summary = (goal.strip() if len(raw) <= 120 else raw[:117].decode(errors="ignore") + "...") if goal else f"{fixed.CARD_NAME} covering {n} elided items"
+            costs.append(tokens(64 + sum(len(t.encode()) for t in [goal, summary, work, f"provider: {key[0]}", *texts, *names] if t)))
+            if n < len(told):
+                rows.append((*key, *told[n][:3], told[n][3], told[n][4], left, n))
+                left = max(left - told[n][1], 0)
+                lefts.append(left)
+        scope.append((*key, context, floor, goal, work))
+        n = choice(lefts, costs, floor, one_by_one)
+        if n is not None:
+            want[key[1]] = (lefts[n] + costs[n], costs[n], n, sorted(t[0] for t in told[:n]))
+    ranked = spark.createDataFrame(rows, "provider string, session_id string, path string, line_index long, savings long, tool string, card_class string, text string, remaining long, place long")
+    sessions = spark.createDataFrame(scope, "provider string, session_id string, path string, context_tokens long, floor_tokens long, goal string, current_work string")
+    plans, edits = card.choose_with_card("any", ranked.repartition(3), sessions, one_by_one=one_by_one)
+    assert "FlatMapGroups" not in plans._jdf.queryExecution().toString()
+    lines = {}
+    for r in edits.collect():
+        lines.setdefault(r.session_id, []).append(r.line_index)
+    got = {r.session_id: (r.tokens_after, r.overhead, r.edits, sorted(lines[r.session_id])) for r in plans.collect()}
+    assert got == want and 20 < len(want) < 60
 
 
 @pytest.fixture(scope="module")
