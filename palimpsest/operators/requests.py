@@ -269,13 +269,13 @@ def _step(mean: np.ndarray, sample: int) -> np.ndarray:
     return np.where(sample >= mean, up, down)
 
 
-def calibrate(requests: DataFrame, keys: list[str], order: str = "request_index", block: int = 4096) -> DataFrame:
+def calibrate(requests: DataFrame, keys: list[str], order: str = "request_index", block: int = 4096, fan: int = 64) -> DataFrame:
     """The running ratio of each key after all its requests.
 
     ``requests``: keys, order (dense), est_tokens, reported_tokens.  The mean moves an
     eighth of the way to each sample with integer steps, so order matters.  A block of
-    samples maps any starting mean (250..4000) to an ending one; blocks are mapped apart
-    and the short lists of maps are applied in order, so a busy key spreads over tasks.
+    samples maps any starting mean (250..4000) to an ending one; blocks are mapped apart,
+    and maps are composed as a tree, so no task holds more than a block or ``fan`` maps of a key.
     """
     sample = F.floor(F.col("reported_tokens") * 1000 / F.col("est_tokens")).cast("long")
     usable = requests.filter(F.col("est_tokens") >= MIN_EST).withColumn("_sample", sample).filter(
@@ -302,27 +302,30 @@ def calibrate(requests: DataFrame, keys: list[str], order: str = "request_index"
             "_from": [(at + LOW).tolist()], "_to": [means[at].tolist()],
         })
 
-    maps = usable.groupBy(*keys, "_block").applyInPandas(
-        map_block, f"{shape}, _block long, _n long, _fresh long, _from array<long>, _to array<long>"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean, count = None, 0
-        for r in pdf.sort_values("_block").itertuples(index=False):
-            row = dict(zip(pdf.columns, r))
-            if mean is None:
-                mean = int(row["_fresh"])
-            else:
-                i = int(np.searchsorted(np.asarray(row["_from"]), mean, side="right")) - 1
-                mean = int(row["_to"][i])
-            count += int(row["_n"])
-        ratio = 1000 if count < MIN_SAMPLES else min(max(mean, 1000), 2000)
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, "samples": [count], "mean_permille": [mean], "ratio_permille": [ratio]})
-
-    return maps.groupBy(*keys).applyInPandas(
-        chain, f"{shape}, samples long, mean_permille long, ratio_permille long"
-    )
+    schema = f"{shape}, _block long, _n long, _fresh long, _from array<long>, _to array<long>"
+    maps = usable.groupBy(*keys, "_block").applyInPandas(map_block, schema)
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values("_block").itertuples(index=False, name=None))
+        at = {c: i for i, c in enumerate(pdf.columns)}
+        starts, means, fresh = (np.asarray(rows[0][at[c]]) for c in ("_from", "_to", "_fresh"))
+        for r in rows[1:]:
+            edges, ends = np.asarray(r[at["_from"]]), np.asarray(r[at["_to"]])
+            means, fresh = (ends[np.searchsorted(edges, x, side="right") - 1] for x in (means, fresh))
+            kept = np.concatenate(([True], np.diff(means) != 0))
+            starts, means = starts[kept], means[kept]
+        head = {k: [rows[0][at[k]]] for k in keys}
+        n = sum(int(r[at["_n"]]) for r in rows)
+        return pd.DataFrame({**head, "_block": [int(rows[0][at["_up"]])], "_n": [n], "_fresh": [int(fresh)], "_from": [starts.tolist()], "_to": [means.tolist()]})
+
+    # Maps of neighbouring blocks compose to one map, ``fan`` at a time, until each key has one.
+    while True:
+        maps = cut(maps, "maps")
+        if (maps.agg(F.max("_block").alias("b")).first()["b"] or 0) == 0:
+            break
+        maps = maps.withColumn("_up", F.floor(F.col("_block") / fan).cast("long")).groupBy(*keys, "_up").applyInPandas(compose, schema)
+    ratio = F.when(F.col("_n") < MIN_SAMPLES, 1000).otherwise(F.least(F.greatest("_fresh", F.lit(1000)), F.lit(2000)))
+    return maps.select(*keys, F.col("_n").alias("samples"), F.col("_fresh").alias("mean_permille"), ratio.cast("long").alias("ratio_permille"))
 
 
 def calibrated_threshold(threshold: str | Column, ratio: str | Column) -> Column:
