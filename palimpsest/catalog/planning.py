@@ -459,7 +459,7 @@ def _(spark, sf_dir):
     "plan_findings",
     "WITH " + items_sql() + """,
 micro AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, tool ORDER BY line_index DESC) AS use FROM elig) WHERE use > 2)
-SELECT session_id, 'edit targets protected or non-elidable content' AS reason, count(*) AS rows FROM micro WHERE rn_desc <= 8 GROUP BY 1""",
+SELECT session_id, 'line_must_stay' AS reason, count(*) AS rows FROM micro WHERE rn_desc <= 8 GROUP BY 1""",
 )
 def _(spark, sf_dir):
     """Dropping every row the per-tool rule allows: findings where it reaches the protected tail."""

@@ -120,5 +120,21 @@ PROBE_FILE_EXTENSIONS = [
     "html", "css", "xml", "lock", "cfg", "ini",
 ]
 
+# Retention: words too common to count as content, and the openings of lines that state a constraint or a procedure.
+STOPWORDS = [
+    "this", "that", "with", "from", "have", "been", "were", "they", "will", "would", "there",
+    "their", "about", "which", "when", "then", "than", "into", "your", "them", "what", "does",
+    "just", "also", "some", "here", "should", "could", "must", "only", "over", "such", "make",
+    "made",
+]
+CONSTRAINTS = ["never ", "must not ", "do not ", "only if "]
+PROCEDURES = ["cargo ", "npm ", "bun ", "pytest ", "python3 ", "git ", "run `"]
+
+# What an error says when a context is too long; patterns over lower-cased text.
+CONTEXT_ERRORS = [
+    "context.?length", "context.?window", "prompt is too long", "input.tokens", "maximum.context", "exceeds.limit",
+    "too.many.tokens", "reduce.the.length", "reduce.the.input",
+]
+
 WILSON_Z = 1.959963984540054
 WILSON_Z2 = 3.841458820694124

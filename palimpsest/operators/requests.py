@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest import fixed
 from palimpsest.functions import variant as v
 from palimpsest.functions.hashes import position_digest
 from palimpsest.operators.ordered import exclusive_sums, line_levels, newest, previous
@@ -507,10 +508,7 @@ def requested_output(body: Column) -> Column:
 def is_context_error(text: str | Column) -> Column:
     """Whether an error text says the context is too long."""
     text = F.lower(F.col(text) if isinstance(text, str) else text)
-    return text.rlike(
-        r"(?s)context.?length|context.?window|prompt is too long|input.tokens|maximum.context"
-        r"|exceeds.limit|too.many.tokens|reduce.the.length|reduce.the.input"
-    )
+    return text.rlike("(?s)" + "|".join(fixed.CONTEXT_ERRORS))
 
 
 def ledger_activity(ledger: DataFrame) -> DataFrame:

@@ -84,12 +84,12 @@ def validate_plans(
     ).join(sizes, KEYS, "left")
     found(
         by_plan.filter((F.col("_edits") > fixed.MAX_EDITS) | (F.col("_items") > fixed.MAX_ITEMS)),
-        "plan exceeds item limits",
+        "too_many_edits_or_items",
     )
-    found(by_plan.filter(F.col("_most") > 1), "ambiguous transcript indexes")
+    found(by_plan.filter(F.col("_most") > 1), "line_occurs_twice")
     found(
         by_plan.filter((F.col("_cards") > 1) | (F.col("_control") & (F.col("_edits") > 1))),
-        "invalid edit composition",
+        "edits_do_not_combine",
     )
 
     elide = edits.filter(F.col("op") == "elide")
@@ -102,11 +102,11 @@ def validate_plans(
         | (F.octet_length("item_stub") > 200)
         | F.col("item_stub").rlike(control_char)
     )
-    found(elide.filter(bad_stub), "invalid elision bounds or stub template")
+    found(elide.filter(bad_stub), "bad_stub")
     joined = elide.select(*PLAN, "edit_index", "line_index").join(
         lines, KEYS + ["line_index"], "left"
     )
-    found(joined.filter(F.col("_copies").isNull()), "unknown edit index")
+    found(joined.filter(F.col("_copies").isNull()), "no_such_line")
     tail = protected_cut(
         lines.filter(is_elidable()).select(*KEYS, "line_index"), sessions, keep
     )
@@ -115,11 +115,11 @@ def validate_plans(
         guarded.filter(
             ~is_elidable() | F.coalesce(F.col("line_index") >= F.col("cut_line"), F.lit(False))
         ),
-        "edit targets protected or non-elidable content",
+        "line_must_stay",
     )
     found(
         elide.groupBy(*PLAN, "line_index").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1),
-        "overlapping elision edits",
+        "line_elided_twice",
     )
 
     if "card" in edits.columns:
@@ -129,7 +129,7 @@ def validate_plans(
             cards.filter(
                 (covers <= 0) | (covers > F.col("_items")) | (card_bytes() > fixed.MAX_CARD_BYTES)
             ),
-            "invalid digest bounds",
+            "bad_card",
         )
     found(
         edits.filter(F.col("op") == "provider_compact").filter(
@@ -140,7 +140,7 @@ def validate_plans(
                 F.lit(True),
             )
         ),
-        "invalid provider control",
+        "bad_control",
     )
     ids = edits.filter(F.col("op") == "cache_edit")
     found(
@@ -148,7 +148,7 @@ def validate_plans(
             (F.col("_ids") > fixed.MAX_ITEMS)
             | ((F.col("_ids") > 0) & (F.col("provider") != fixed.BRANCH))
         ),
-        "invalid cache edit",
+        "cache_edit_not_allowed",
     )
     known = scope.select(*KEYS, F.explode("tool_use_ids").alias("tool_use_id")).distinct()
     shaped = F.col("tool_use_id").rlike(r"^[A-Za-z0-9_.-]{1,256}$")
@@ -160,7 +160,7 @@ def validate_plans(
         unknown.select(*PLAN)
         .unionByName(ids.filter(~F.coalesce(shaped, F.lit(False))).select(*PLAN))
         .unionByName(repeated.select(*PLAN)),
-        "invalid cache edit tool_use_id",
+        "bad_tool_use_id",
     )
     return reduce(lambda a, b: a.unionByName(b), findings)
 

@@ -32,7 +32,7 @@ def read_transcripts(
     )
     fits = F.lit(True) if max_bytes is None else F.col("file_bytes") <= max_bytes
     refused = known.filter(~fits).select(
-        "path", "file_bytes", F.lit("transcript exceeds byte limit").alias("reason")
+        "path", "file_bytes", F.lit("file_over_limit").alias("reason")
     )
     # Ids rise in the order of lines inside a block. They are written once, so that all readers see the same.
     lines = spark.read.option("lineSep", "\n").text(paths).select(
