@@ -49,7 +49,7 @@ items AS (
   SELECT lang AS session_id, doc_id AS line_index,
          greatest((strlen(text) + 3) // 4, 1) AS est_tokens,
          CASE WHEN strlen(text) > {fixed.MIN_ELIDABLE_BYTES} THEN strlen(text) END AS bytes,
-         {label} AS label, source || ' => ' || substring(text, 1, 60) AS summary,
+         {label} AS label, source || ' => ' || substring(text, 1, 60) AS summary, source || ' => ' || text AS content,
          sha256(text) AS digest
   FROM documents),
 totals AS (
@@ -100,8 +100,8 @@ def ranked_sql(name: str, label: str = "source") -> str:
         + RANKED.format(
             cand=cand,
             order=order,
-            error=_any(fixed.ERROR_MARKERS, "summary"),
-            task=_any(fixed.OPEN_TASK_MARKERS, "summary"),
+            error=_any(fixed.ERROR_MARKERS, "content"),
+            task=_any(fixed.OPEN_TASK_MARKERS, "content"),
         )
     )
 
@@ -216,7 +216,7 @@ SCORES_SQL = (
     "WITH "
     + items_sql()
     + f""",
-texted AS (SELECT *, label || ' ' || summary AS txt FROM items WHERE session_id IN (SELECT session_id FROM totals WHERE ctx >= 50000)),
+texted AS (SELECT *, label || ' ' || content AS txt FROM items WHERE session_id IN (SELECT session_id FROM totals WHERE ctx >= 50000)),
 worded AS (SELECT *, list_distinct(list_transform(list_filter(
     regexp_split_to_array(txt, '[^\\p{{L}}\\p{{N}}/._]+'), lambda w: w <> '' AND strlen(w) <= 128), lambda w: lower(w))) AS words FROM texted),
 uses AS (SELECT session_id, line_index, unnest(words) AS word FROM worded),
@@ -224,7 +224,7 @@ ranks AS (SELECT *, count(*) OVER (PARTITION BY session_id, word) AS df,
     row_number() OVER (PARTITION BY session_id, word ORDER BY line_index DESC) - 1 AS later FROM uses),
 per_line AS (SELECT session_id, line_index, count(*) AS n, sum(ln(items::DOUBLE / df)) AS idf,
     sum(least(later, 12)) AS fut FROM ranks JOIN totals USING (session_id) GROUP BY 1, 2),
-cands AS (SELECT e.session_id, e.line_index, e.label, e.savings, e.ctx, e.tool, e.summary,
+cands AS (SELECT e.session_id, e.line_index, e.label, e.savings, e.ctx, e.tool, e.summary, e.content,
     row_number() OVER (PARTITION BY e.session_id ORDER BY e.line_index) - 1 AS pos,
     count(*) OVER (PARTITION BY e.session_id) AS n_c,
     max(e.line_index) OVER (PARTITION BY e.session_id, e.label) AS newest
@@ -271,8 +271,8 @@ win AS (SELECT * FROM (SELECT *, coalesce(sum(savings) OVER (PARTITION BY sessio
         + RANKED.format(
             cand="SELECT *, floor(least(greatest(score, 0.0), 1.0) * 1000000)::BIGINT AS q FROM win",
             order="q, savings DESC, line_index",
-            error=_any(fixed.ERROR_MARKERS, "summary"),
-            task=_any(fixed.OPEN_TASK_MARKERS, "summary"),
+            error=_any(fixed.ERROR_MARKERS, "content"),
+            task=_any(fixed.OPEN_TASK_MARKERS, "content"),
         )
         + """,
 base AS (SELECT session_id, count(*) AS n0 FROM ranked WHERE r > 40000 GROUP BY 1),
@@ -392,7 +392,7 @@ WITH items AS (
   SELECT conv_id::VARCHAR AS session_id, turn AS line_index, role AS kind,
          greatest((strlen(text) + 3) // 4, 1) AS est_tokens,
          CASE WHEN role = 'assistant' AND strlen(text) > {fixed.MIN_ELIDABLE_BYTES} THEN strlen(text) END AS bytes,
-         substring(text, 1, 200) AS summary
+         substring(text, 1, 200) AS summary, text AS content
   FROM conversations),
 totals AS (SELECT session_id, sum(est_tokens)::BIGINT AS ctx FROM items GROUP BY 1),
 flags AS (SELECT *, kind = 'assistant' AND coalesce(lag(kind) OVER w <> 'assistant', true) AS st

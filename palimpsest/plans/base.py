@@ -63,14 +63,20 @@ def before_cut(rows: DataFrame, edge: DataFrame, keys: list[str] = KEYS) -> Data
     return kept.drop("cut_line")
 
 
+def whole_text(items: DataFrame) -> Column:
+    """What classes and scores read of an item: its whole content where the table has it, else its summary."""
+    return F.coalesce("content", "summary") if "content" in items.columns else F.col("summary")
+
+
 def prepare(items: DataFrame, sessions: DataFrame, keep: int | None = 8) -> Prepared:
     """Narrow the items to what planners read.
 
     ``sessions`` has the totals and the policy columns.  Payload text is not carried:
-    a card quotes labels and summaries only.
+    a card quotes labels and summaries only, but its classes come from the whole ``content`` where items have one.
     """
     ready = cut(due(sessions), "sessions")
     text = F.coalesce("summary", "label")
+    seen = F.coalesce(whole_text(items), text)
     elidable = (
         items.filter(is_elidable())
         .join(ready.select(*KEYS), KEYS, "left_semi")
@@ -83,7 +89,7 @@ def prepare(items: DataFrame, sessions: DataFrame, keep: int | None = 8) -> Prep
             elision_savings().alias("savings"),
             tool_name("label").alias("tool"),
             text.alias("text"),
-            card_class(text, "kind").alias("card_class"),
+            card_class(seen, "kind").alias("card_class"),
             "tool_use_ids",
         )
     )

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from palimpsest import fixed
 from palimpsest.functions.text import has_any, tool_name, word_set
 from palimpsest.operators.ordered import exclusive_sums, line_levels, newest
+from palimpsest.plans.base import whole_text
 from palimpsest.plans.policy import KEYS
+from palimpsest.session import cut
 
 LOOKBACK = 8
 FUTURE_CAP = 12
@@ -29,24 +31,27 @@ def heuristic_scores(items: DataFrame, sessions: DataFrame, candidates: DataFram
         "summary",
         "uuid",
         "parent_uuid",
-        F.concat("label", F.lit(" "), F.coalesce("summary", F.lit(""))).alias("_text"),
+        F.concat("label", F.lit(" "), F.coalesce(whole_text(items), F.lit(""))).alias("_text"),
     )
-    texted = scoped.withColumn("_words", word_set("_text"))
-
     said = (
         F.col("kind").isin("user", "assistant")
         & F.col("summary").isNotNull()
         & ~F.startswith("summary", F.lit(fixed.CARD_MARKER))
     )
+    # Whole texts are read once; what follows needs their words and two facts.
+    texted = cut(scoped.select(
+        *lines, "label", "uuid", "parent_uuid", F.coalesce(said, F.lit(False)).alias("_said"),
+        has_any("_text", fixed.SCORE_ERROR_MARKERS).alias("_error"), word_set("_text").alias("_words"),
+    ), "words")
     goal_words = (
-        newest(texted.filter(said), KEYS, [F.col("line_index").desc()], LOOKBACK)
+        newest(texted.filter("_said"), KEYS, [F.col("line_index").desc()], LOOKBACK)
         .select(*KEYS, F.explode("_words").alias("word"))
         .distinct()
         .withColumn("_goal", F.lit(1))
     )
-    tail = newest(scoped.select(*lines, "parent_uuid"), KEYS, [F.col("line_index").desc()], LOOKBACK)
+    tail = newest(texted.select(*lines, "parent_uuid"), KEYS, [F.col("line_index").desc()], LOOKBACK)
     facts = (
-        scoped.groupBy(*KEYS)
+        texted.groupBy(*KEYS)
         .agg(F.count("*").alias("_docs"), F.max("line_index").alias("_max_line"))
         .join(tail.groupBy(*KEYS).agg(F.collect_set("parent_uuid").alias("_parents")), KEYS)
         .join(candidates.groupBy(*KEYS).agg(F.count("*").alias("_n")), KEYS)
@@ -116,7 +121,7 @@ def heuristic_scores(items: DataFrame, sessions: DataFrame, candidates: DataFram
     score = (
         F.col("_position").cast("double") / F.col("_n") * 0.18
         + importance * 0.12
-        + F.when(has_any("_text", fixed.SCORE_ERROR_MARKERS), 0.25).otherwise(0.0)
+        + F.when(F.col("_error"), 0.25).otherwise(0.0)
         + future * 0.12
         + overlap * 0.12
         + place * 0.10

@@ -40,11 +40,12 @@ def document_items(spark: SparkSession, sf_dir: str, constant_label: bool = Fals
         F.when(size > fixed.MIN_ELIDABLE_BYTES, size.cast("long")).alias("elidable_bytes"),
         F.lit(1).alias("elidable_parts"),
         label.alias("label"),
-        F.concat("source", F.lit(" => "), F.substring("text", 1, 60)).alias("summary"),
+        F.concat("source", F.lit(" => "), F.substring("text", 1, 60)).alias("summary"),  # shown; classes and scores read the content
         no_text.alias("uuid"),
         no_text.alias("parent_uuid"),
         F.array(F.concat(F.lit("tool-"), F.col("doc_id").cast("string"))).alias("tool_use_ids"),
         F.sha2("text", 256).alias("payload_sha256"),
+        F.concat("source", F.lit(" => "), "text").alias("content"),
     )
 
 
@@ -68,6 +69,7 @@ def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         no_text.alias("parent_uuid"),
         F.expr("cast(array() as array<string>)").alias("tool_use_ids"),
         F.sha2("text", 256).alias("payload_sha256"),
+        F.col("text").alias("content"),
     )
 
 
