@@ -39,7 +39,15 @@ QUERY_BLOCK = 1024
 SLACK = 1e-9
 
 
+def _tamed(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares might leave the range of doubles, divided by their largest component; others as they are."""
+    top = np.abs(x).max(1, initial=0.0, keepdims=True)
+    odd = (top > 0) & ((top < 1e-140) | (top > 1e140))
+    return np.where(odd, x / np.where(odd, top, 1), x) if odd.any() else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = _tamed(x)
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
@@ -104,6 +112,7 @@ class Tree:
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, each summed alike whatever stands beside it."""
+    a, b = _tamed(a), _tamed(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 

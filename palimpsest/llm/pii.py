@@ -4,19 +4,23 @@ Seeds are spans of four base kinds: email, ip, card, phone. A pattern is the con
 words before it, or one word and its shape). Patterns and instances (the tokens) form a graph, whose edges Spark counts
 over all documents. In each round, a pattern's confidence for a kind is the share of its tokens known to be of
 that kind, if ``MIN_SEEDS`` different ones are; an instance's confidence is the chance that not all of its patterns
-err. Instances of ``CONFIDENT`` or more join the kind and strengthen their patterns in the next round. Tokens found
+err. Instances of ``CONFIDENT`` or more join the kind and strengthen their patterns in the next round, until a round brings none. Tokens found
 so become spans of kind ``like_email`` and so on. Base spans always stay.
 
 Only tokens that look like identifiers take part (four digits or more, or a sign between words that stands for an
 at sign), and never those that touch a base span: without that, a frequent word would bring in common text.
 
 Inputs: null counts as empty; empty texts have no spans. Texts are taken whole. Equal rows stay rows of their own. An
-empty table gives an empty result. Columns not in ``keep`` are ignored; results use names of their own.
+empty table gives an empty result. Columns not in ``keep`` are ignored; ``mask`` keeps all, whatever their names. Long tokens
+and contexts are told apart by their digests. Spans of different kinds may overlap; each stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_right
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +34,6 @@ from palimpsest.session import cut
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, *(f"like_{k}" for k in BASE)]
 
-ROUNDS = 3
 MIN_SEEDS = 5
 CONFIDENT = 0.9
 MAX_TOKEN = 64
@@ -111,22 +114,42 @@ def shape(token: str) -> str:
     return re.sub(r"a+", "a", re.sub(r"0+", "0", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", token))))
 
 
-def patterns(text: str, start: int, token: str) -> list[str]:
+class Words:
+    """The words of a text, found once, and those that end before a place."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in WORD.finditer(text)]
+        self.ends = [b for _, b in self.spans]
+
+    def before(self, start: int) -> list[str]:
+        """The last two."""
+        n = bisect_right(self.ends, start)
+        return [self.text[a:b].lower() for a, b in self.spans[max(0, n - 2) : n]]
+
+
+def patterns(words: Words, start: int, token: str) -> list[str]:
     """Contexts of a token: the two words before it; the word before it with the token's shape."""
-    before = [w.lower() for w in WORD.findall(text[max(0, start - 80) : start])][-2:]
+    before = words.before(start)
     if not before:
         return []
-    out = [f"{before[-1]} <{shape(token)}>"]
+    out = [short(f"{before[-1]} <{shape(token)}>")]
     if len(before) == 2:
-        out.append(" ".join(before))
+        out.append(short(" ".join(before)))
     return out
 
 
+def short(text: str) -> str:
+    """A text, or the digest of a long one: equal texts stay equal."""
+    return text if len(text) <= MAX_TOKEN else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     """Seeds with their kind, and tokens that look like identifiers and touch no seed, without."""
+    words = lru_cache(1)(lambda: Words(text))  # found only if there is a candidate
     seeds = sorted((a, b, k) for k, a, b in base)
     out = [
-        {"start": a, "end": b, "token": text[a:b].lower()[:MAX_TOKEN], "patterns": patterns(text, a, text[a:b][:MAX_TOKEN]), "kind": k}
+        {"start": a, "end": b, "token": short(text[a:b].lower()), "patterns": patterns(words(), a, text[a:b]), "kind": k}
         for a, b, k in seeds
     ]
     i = 0
@@ -137,10 +160,10 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
         while i < len(seeds) and seeds[i][1] <= a:
             i += 1
         touches = any(s[0] < b and s[1] > a for s in seeds[i : i + 4])
-        if touches or not raw or len(raw) > MAX_TOKEN or "=" in raw:
+        if touches or not raw or "=" in raw:
             continue
         if sum(c.isdigit() for c in raw) >= 4 or AT_LIKE.fullmatch(raw):
-            out.append({"start": a, "end": b, "token": raw.lower(), "patterns": patterns(text, a, raw), "kind": None})
+            out.append({"start": a, "end": b, "token": short(raw.lower()), "patterns": patterns(words(), a, raw), "kind": None})
     return out
 
 
@@ -171,8 +194,8 @@ def score_graph(edges: DataFrame) -> DataFrame:
     unknown = edges.where(F.col("kind").isNull()).select("pattern", "token", "n")
     known = edges.where(F.col("kind").isNotNull()).select("pattern", "token", "kind", F.lit(1.0).alias("confidence"), "n")
     totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    found = None
-    for round_ in range(ROUNDS):
+    seen, round_ = None, 0
+    while True:
         held = known.groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum(F.col("confidence") * F.col("n")).alias("sure"))
         trusted = (
             held.where(F.col("seeds") >= MIN_SEEDS)
@@ -191,16 +214,28 @@ def score_graph(edges: DataFrame) -> DataFrame:
             F.max(F.struct("confidence", F.col("for_kind").alias("kind"))).alias("b")
         ).select("token", "b.kind", "b.confidence")
         found = cut(best, f"pii-round-{round_}")
-        if round_ < ROUNDS - 1:
-            if found.isEmpty():
-                break
-            more = unknown.join(found, "token").select("pattern", "token", "kind", "confidence", "n")
-            known = edges.where(F.col("kind").isNotNull()).select("pattern", "token", "kind", F.lit(1.0).alias("confidence"), "n").unionByName(more)
-    return found
+        new = found if seen is None else found.join(seen, "token", "left_anti")
+        if new.isEmpty():
+            return found
+        seen = new.select("token") if seen is None else cut(seen.unionByName(new.select("token")), f"pii-seen-{round_}")
+        more = unknown.join(found, "token").select("pattern", "token", "kind", "confidence", "n")
+        known = edges.where(F.col("kind").isNotNull()).select("pattern", "token", "kind", F.lit(1.0).alias("confidence"), "n").unionByName(more)
+        round_ += 1
 
 
 def find_personal(docs: DataFrame, *, text: str = "text", keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``base`` and ``spans``: arrays of (kind, start, end) in code points, end exclusive."""
+    """``keep`` columns with ``base`` and ``spans``: arrays of (kind, start, end) in code points, end exclusive.
+
+    ``keep`` may not hold ``base`` or ``spans``.
+    """
+    clash = {"base", "spans"} & set(keep)
+    if clash:
+        raise ValueError(f"keep may not hold {sorted(clash)}")
+    return _find(docs, text, keep).select(*keep, F.col("__base").alias("base"), F.col("__spans").alias("spans"))
+
+
+def _find(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns with ``__base`` and ``__spans``."""
     rows = cut(_read(docs, text, keep).withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
     each = rows.select("__row", F.explode("__found").alias("c")).select("__row", "c.*")
     edges = cut(
@@ -216,7 +251,7 @@ def find_personal(docs: DataFrame, *, text: str = "text", keep: list[str]) -> Da
     )
     # One list holds the spans of one document only.
     every = F.concat("__base", F.coalesce("__more", F.array().cast(SPAN)))
-    return rows.join(more, "__row", "left").select(*keep, F.col("__base").alias("base"), ordered(every).alias("spans"))
+    return rows.join(more, "__row", "left").select(*keep, "__base", ordered(every).alias("__spans"))
 
 
 def ordered(spans: Column) -> Column:
@@ -232,7 +267,7 @@ def mask(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The same columns, with every span of the text replaced by its kind in angle brackets; overlaps become one."""
     names = docs.columns
     kept = docs.select(*names)
-    found = find_personal(kept, text=text, keep=names)
+    found = _find(kept, text, names)
     schema = kept.schema
     at = names.index(text)
 
@@ -245,7 +280,7 @@ def mask(docs: DataFrame, *, text: str = "text") -> DataFrame:
             columns[at] = pa.array(out, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.select(*names, F.col("spans").alias("__spans")).mapInArrow(run, schema)
+    return found.select(*names, "__spans").mapInArrow(run, schema)
 
 
 def _masked(text: str, spans: list[tuple[int, int, str]]) -> str:

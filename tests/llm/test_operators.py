@@ -482,3 +482,35 @@ def test_pipeline(spark):
         t = b"".join(back[i] for i in np.frombuffer(r["ids"], "<u4").tolist()).decode()
         assert t == pii._masked(texts[r["doc_id"]], [(a, b, k) for k, a, b in pii.base_spans(texts[r["doc_id"]])])
         assert hashlib.sha256(t.encode()).digest() and r["n_tokens"] == len(r["ids"]) // 4
+
+
+# Names that clash, long chains and extreme magnitudes
+
+
+def test_mask_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "mail a.b@c.de now", "x", "y", "z", "w"), (2, None, None, None, None, None)], "doc_id long, text string, spans string, base string, token string, kind string")
+    got = {r["doc_id"]: r for r in pii.mask(rows).collect()}
+    assert got[1]["text"] == "mail <email> now" and got[2]["text"] is None
+    assert [got[1][c] for c in ("spans", "base", "token", "kind")] == ["x", "y", "z", "w"]
+    with pytest.raises(ValueError, match="keep"):
+        pii.find_personal(rows, keep=["spans"])
+
+
+def test_personal_discovers_in_chains(spark):
+    """Seeds share a first context; each further context is known only from tokens of the one before, over more rounds than three."""
+    contexts = ["desk number", "front office", "back yard", "old mill", "new pier", "far hill"]
+    texts = [f"ring desk number +49 30 {i}23456789. " * 200 for i in range(6)]
+    for level, (a, b) in enumerate(zip(contexts, contexts[1:])):
+        for i in range(6):
+            texts += [f"ring {a} 00{level}{i}555{i}", f"ring {b} 00{level}{i}555{i} . " * 200]
+    texts += ["ring far hill " + "7" * 500, "1234567 " * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [{s["kind"] for s in r["spans"]} for r in pii.find_personal(rows, keep=["doc_id"]).orderBy("doc_id").collect()]
+    assert got == [{"phone"}] * 6 + [{"like_phone"}] * (len(texts) - 7) + [set()]
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    rows = [(0, [1e-170, 2e-170]), (1, [1e170, 1e170]), (2, [1.0, 2.0]), (3, [2.0, -1.0]), (4, [-1e-300, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2, 1, 4, 3] and all(abs(r["score"] - w) < 1e-12 for r, w in zip(got, [1.0, 0.9486832980505138, 0.31622776601683794, 0.0]))
