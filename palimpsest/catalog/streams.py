@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from palimpsest.catalog.registry import query
 from palimpsest.catalog.requesting import E, events, samples
+from palimpsest.operators import billing
 from palimpsest.operators import monitor as mo
 from palimpsest.session import checkpoint_dir
 from palimpsest.sources import responses
+from palimpsest.sources.tables import table
 from palimpsest.streaming import keyed
 
 # Response events: a user's events with the same k % 4 are one attempt. The texts below are the input of Spark and DuckDB alike.
@@ -114,6 +117,44 @@ def _(spark, sf_dir):
     return responses.stream_tools(response_events(spark, sf_dir), KEYS)
 
 
+# Billable characters: a turn as a message with nested tool input, and an image on some turns. A dump's fixed part is counted on a message of empty strings.
+
+def _message(role: str, text: str, n: int) -> dict:
+    nested = {"n": n, "ok": True, "none": None, "deep": [[], {}, {"a": [text]}]}
+    return {"role": role, "content": [{"type": "text", "text": text}, {"type": "tool_use", "name": "a:b, c", "input": nested}]}
+
+
+_IMAGE = {"type": "tool_result", "content": [{"type": "image", "source": {"type": "base64", "data": ""}}]}
+_ESCAPES = "(length(text) - length(replace(replace(replace(replace(replace(text, chr(34), ''), chr(92), ''), chr(10), ''), chr(13), ''), chr(9), '')))"
+
+
+def _json(image: bool) -> str:
+    text = json.dumps(_message("@role", "@text", 7), separators=(",", ":"))
+    if image:
+        text = text[:-2] + "," + json.dumps(_IMAGE, separators=(",", ":")).replace('"data":""', '"data":"@data"') + "]}"
+    return text
+
+
+@query(
+    "billable_characters",
+    f"""WITH c AS (SELECT conv_id, turn, {len(json.dumps(_message("", "", 7)))} - 1 + length(turn::VARCHAR) + length(role) + 2 * (length(text) + {_ESCAPES})
+  + CASE WHEN turn % 3 = 0 THEN {len(json.dumps(_IMAGE)) + 2} + 4 * 1568 ELSE 0 END AS n FROM conversations)
+SELECT conv_id, turn, n::BIGINT AS billable_chars, (n // 4)::BIGINT AS est_tokens FROM c""",
+)
+def _(spark, sf_dir):
+    quoted = F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")
+
+    def made(image: bool):
+        value = F.lit(_json(image))
+        for mark, text in (('"@text"', quoted), ("@role", F.col("role")), ("7", F.col("turn").cast("string")), ("@data", F.repeat(F.lit("QUJD"), F.col("turn").cast("int")))):
+            value = F.replace(value, F.lit(mark), text) if mark != "7" else F.replace(value, F.lit('"n":7'), F.concat(F.lit('"n":'), text))
+        return value
+
+    rows = table(spark, sf_dir, "conversations").withColumn("raw", F.when(F.col("turn") % 3 == 0, made(True)).otherwise(made(False)))
+    rows = rows.select("conv_id", "turn", F.parse_json("raw").alias("value"))
+    return billing.billable_chars(rows, ["conv_id", "turn"]).select("conv_id", "turn", "billable_chars", "est_tokens")
+
+
 # Keyed streams
 
 def hours():

@@ -20,6 +20,9 @@ CLIFF_STUB = "[tool result dropped by palimpsest cliff: {bytes} bytes]"
 # Token and size estimates.
 BYTES_PER_TOKEN = 4
 STUB_BYTES_PER_PART = 96
+IMAGE_PATCH = 28
+MAX_IMAGE_TOKENS = 4_784
+DEFAULT_IMAGE_TOKENS = 1_568
 MIN_ELIDABLE_BYTES = 256
 CARD_RESERVE_TOKENS = 4_096
 CARD_BASE_BYTES = 64
