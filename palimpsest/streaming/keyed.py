@@ -13,11 +13,11 @@ The streams need the RocksDB state store (``use_state_store``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -38,6 +38,7 @@ class InOrder(StatefulProcessor):
     """Rows of a key in order of (at_ms, seq); a subclass says what a row does to the state.
 
     ``rows``: the schema of waiting rows, with at_ms and seq; ``state``: the schema of the state, one row.
+    What a session receives at once waits as one entry, a JSON list of rows: each entry of a list state is a message of its own to the state server.
     """
 
     rows: T.StructType
@@ -46,7 +47,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.waiting = handle.getListState("waiting", "packed string")
         self.last = handle.getValueState("last", self.state)
         self.until = handle.getValueState("until", "at_ms long")
 
@@ -54,39 +55,36 @@ class InOrder(StatefulProcessor):
         """Change ``state`` in place; a row to give out, or None."""
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names, first = self.rows.names, None
-        for batch in rows:
-            # Nulls of whole numbers arrive as NaN.
-            values = [[None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in batch[n].tolist()] for n in names]
-            self.waiting.appendList(list(zip(*values, strict=True)))
-            first = min([*values[names.index("at_ms")], *([] if first is None else [first])])
-        if first is not None:
-            self.handle.registerTimer(first + 1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        values = [[r[n] for n in self.rows.names] for r in rows]
+        if values:
+            self.waiting.appendValue((json.dumps(values),))
+            at = self.rows.names.index("at_ms")
+            self.handle.registerTimer(min(v[at] for v in values) + 1)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         names = self.rows.names
-        held = [dict(zip(names, r, strict=True)) for r in self.waiting.get()]
+        held = [dict(zip(names, r, strict=True)) for (packed,) in self.waiting.get() for r in json.loads(packed)]
         due = sorted((r for r in held if r["at_ms"] < now), key=lambda r: (r["at_ms"], r["seq"]))
         if due:
             left = [r for r in held if r["at_ms"] >= now]
             if left:
-                self.waiting.put([tuple(r[n] for n in names) for r in left])
+                self.waiting.put([(json.dumps([[r[n] for n in names] for r in left]),)])
                 self.handle.registerTimer(min(r["at_ms"] for r in left) + 1)
             else:
                 self.waiting.clear()
-            found = self.last.get() if self.last.exists() else [None] * len(self.state.names)
+            found = self.last.get() or [None] * len(self.state.names)
             state = dict(zip(self.state.names, found, strict=True))
             given = [g for r in due if (g := self.step(state, r)) is not None]
             self.last.update(tuple(state[n] for n in self.state.names))
             end = due[-1]["at_ms"] + (DAY_SECS + 1) * 1000
             self.until.update((end,))
             self.handle.registerTimer(end + 1)
-            if given:
-                keys = dict(zip(KEYS, key, strict=True))
-                yield pd.DataFrame([keys | g for g in given], columns=self.out.names, dtype=object)
+            keys = dict(zip(KEYS, key, strict=True))
+            made = Row(*self.out.names)
+            yield from (made(*[(keys | g)[n] for n in self.out.names]) for g in given)
         elif not held and self.until.exists() and self.until.get()[0] < now:
             self.forget()
 
@@ -101,7 +99,7 @@ class InOrder(StatefulProcessor):
 
 def _run(stream: DataFrame, processor: InOrder, late: str) -> DataFrame:
     timed = stream.select(*KEYS, *processor.rows.names, F.timestamp_millis("at_ms").alias("observed_at")).withWatermark("observed_at", late)
-    return timed.groupBy(*KEYS).transformWithStateInPandas(
+    return timed.groupBy(*KEYS).transformWithState(
         statefulProcessor=processor, outputStructType=processor.out, outputMode="Append", timeMode="EventTime"
     )
 
