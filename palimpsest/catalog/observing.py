@@ -233,7 +233,7 @@ def _(spark, sf_dir):
             F.when(F.col("identity.tool_id").isNotNull(), F.sha2(F.col("event_id"), 256)),
         ),
     )
-    every = cut(observe.with_digest(every.drop("envelope", "digest")), "observations")
+    every = observe.with_digest(every.drop("envelope", "digest"))
     held = every.filter(F.floor((F.col("sequence") - 1) / 3) % 2 == 1)
     return append_observations(every, held).receipt
 

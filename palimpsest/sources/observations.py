@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,82 +29,107 @@ def append_observations(new: DataFrame, existing: DataFrame) -> Append:
     same id with another body, a second row for a lifecycle key, or an attempt whose
     identity differs is a conflict, and then nothing is inserted.  The caller writes
     ``inserted``.  Every rule is an aggregate over both frames, so no key gathers rows.
+    Ids and keys are told apart by 128 bits of hashes and bodies of one id by 64, as they are
+    shuffled and counted often; only the ids that a conflict names are read as texts.
     """
-    new = new.withColumn("_life", lifecycle_key())
-    ids = new.groupBy("event_id").agg(
-        F.count("*").alias("_copies"),
-        F.min("digest").alias("_low"),
-        F.max("digest").alias("_high"),
-    )
-    held = existing.select("event_id", F.col("digest").alias("_held"))
-    joined = ids.join(held, "event_id", "left")
-    differs = (F.col("_low") != F.col("_high")) | F.coalesce(
-        (F.col("_held") != F.col("_low")) | (F.col("_held") != F.col("_high")), F.lit(False)
-    )
-    judged = cut(joined.withColumn("_differs", differs), "append")
-    changed = judged.filter("_differs").select(
-        "event_id", F.lit("data_event_identity_conflict").alias("reason")
-    )
-    fresh_ids = judged.filter(F.col("_held").isNull()).select("event_id")
-    # One row per fresh id: copies inside the batch are replays of it.
-    fresh = new.join(fresh_ids, "event_id", "left_semi").dropDuplicates(["event_id"])
-    both = fresh.select("event_id", "_life", F.lit(1).alias("_new")).unionByName(
-        existing.select("event_id", lifecycle_key().alias("_life"), F.lit(0).alias("_new"))
-    )
-    lifecycle = (
-        both.filter(F.col("_life").isNotNull())
-        .groupBy("_life")
-        .agg(
-            F.count("*").alias("_n"),
-            F.sum("_new").alias("_fresh"),
-            F.max(F.when(F.col("_new") == 1, F.col("event_id"))).alias("event_id"),
-        )
-        .filter((F.col("_n") > 1) & (F.col("_fresh") > 0))
-        .select("event_id", F.lit("data_lifecycle_conflict").alias("reason"))
-    )
-
-    def identities(rows: DataFrame, flag: int) -> DataFrame:
-        ident = F.col("identity")
-        who = F.struct(ident["runtime_id"], ident["session_id"], ident["request_id"], F.col("source"))
-        return rows.filter(ident["attempt_id"].isNotNull()).select(
-            F.col("source.id").alias("_source"),
-            ident["attempt_id"].alias("_attempt"),
-            F.sha2(F.to_json(who), 256).alias("_who"),
-            F.lit(flag).alias("_new"),
-            "event_id",
-        )
-
-    attempts = (
-        identities(fresh, 1).unionByName(identities(existing, 0))
-        .groupBy("_source", "_attempt")
-        .agg(
-            F.min("_who").alias("_a"),
-            F.max("_who").alias("_b"),
-            F.max("_new").alias("_fresh"),
-            F.max(F.when(F.col("_new") == 1, F.col("event_id"))).alias("event_id"),
-        )
-        .filter((F.col("_a") != F.col("_b")) & (F.col("_fresh") == 1))
-        .select("event_id", F.lit("data_attempt_identity_conflict").alias("reason"))
-    )
-    conflicts = cut(changed.unionByName(lifecycle).unionByName(attempts), "conflicts")
-    refused = conflicts.groupBy().agg(F.count("*").alias("conflicts"))
-    totals = judged.groupBy().agg(
-        F.count_if(F.col("_held").isNull()).alias("_fresh"), F.sum("_copies").alias("_rows")
+    identity, life, attempt = ["_id", "_id2"], ["_life", "_life2"], ["_attempt", "_attempt2"]
+    packed = cut(_packed(new, 1).unionByName(_packed(existing, 0)), "append")
+    is_new = F.col("_new") == 1
+    seen = packed.groupBy(*identity).agg(
+        F.sum("_new").alias("_copies"),
+        F.sum(1 - F.col("_new")).alias("_held"),
+        F.min("_body").alias("_low"),
+        F.max("_body").alias("_high"),
+        # Of the copies inside the batch one stands for all.
+        *[F.first(F.when(is_new, F.col(c)), ignorenulls=True).alias(c) for c in (*life, *attempt, "_who")],
+    )
+    fresh = F.col("_held") == 0
+    # What is known of an id that is held needs no keys: its stored row brings them.
+    judged = cut(
+        seen.filter(F.col("_copies") > 0).select(
+            *identity, "_copies", fresh.alias("_fresh"), (F.col("_low") != F.col("_high")).alias("_differs"),
+            *[F.when(fresh, F.col(c)).alias(c) for c in (*life, *attempt, "_who")],
+        ),
+        "append",
+    )
+    entering = judged.filter("_fresh")
+    both = entering.select(*life, *attempt, "_who", F.lit(1).alias("_new")).unionByName(
+        packed.filter(~is_new).select(*life, *attempt, "_who", F.lit(0).alias("_new"))
+    )
+    again = (
+        both.filter(F.col("_life").isNotNull()).groupBy(*life)
+        .agg(F.count("*").alias("_n"), F.sum("_new").alias("_entering"))
+        .filter((F.col("_n") > 1) & (F.col("_entering") > 0))
+    )
+    others = (
+        both.filter(F.col("_attempt").isNotNull()).groupBy(*attempt)
+        .agg(F.min("_who").alias("_a"), F.max("_who").alias("_b"), F.max("_new").alias("_entering"))
+        .filter((F.col("_a") != F.col("_b")) & (F.col("_entering") == 1))
+    )
+    rules = {
+        "data_event_identity_conflict": (judged.filter("_differs"), identity),
+        "data_lifecycle_conflict": (again, life),
+        "data_attempt_identity_conflict": (others, attempt),
+    }
+    flagged = cut(
+        reduce(
+            DataFrame.unionByName,
+            [rows.select(F.lit(reason).alias("reason"), *[F.col(k).alias(c) for k, c in zip(keys, ("_key", "_key2"))]) for reason, (rows, keys) in rules.items()],
+        ),
+        "conflicts",
+    )
+    named = [
+        (judged if keys is identity else entering).select(*identity, F.lit(reason).alias("reason"), *[F.col(k).alias(c) for k, c in zip(keys, ("_key", "_key2"))])
+        .join(flagged.filter(F.col("reason") == reason).drop("reason"), ["_key", "_key2"], "left_semi")
+        for reason, (_, keys) in rules.items()
+    ]
+    coded = new.withColumns(_codes("_id", F.col("event_id")))
+    conflicts = (
+        coded.select("event_id", *identity).join(reduce(DataFrame.unionByName, named), identity)
+        .groupBy("reason", "_key", "_key2").agg(F.max("event_id").alias("event_id")).select("event_id", "reason")
     )
+    refused = flagged.groupBy().agg(F.count("*").alias("conflicts"))
+    totals = judged.groupBy().agg(F.count_if("_fresh").alias("_entering"), F.sum("_copies").alias("_rows"))
     one = F.lit(1).alias("_one")
     receipt = (
         totals.select("*", one).join(refused.select("*", one), "_one")
         .select(
-            F.when(F.col("conflicts") == 0, F.col("_fresh")).otherwise(0).alias("inserted"),
-            F.when(F.col("conflicts") == 0, F.col("_rows") - F.col("_fresh")).otherwise(0).alias("duplicates"),
+            F.when(F.col("conflicts") == 0, F.col("_entering")).otherwise(0).alias("inserted"),
+            F.when(F.col("conflicts") == 0, F.col("_rows") - F.col("_entering")).otherwise(0).alias("duplicates"),
             "conflicts",
         )
     )
     none = refused.filter(F.col("conflicts") == 0).select(one)
-    inserted = fresh.drop("_life").withColumn("_one", F.lit(1)).join(none, "_one", "left_semi").drop("_one")
+    # One row per fresh id: copies inside the batch are replays of it.
+    inserted = (
+        coded.join(entering.select(*identity), identity, "left_semi").drop(*identity).dropDuplicates(["event_id"])
+        .withColumn("_one", F.lit(1)).join(none, "_one", "left_semi").drop("_one")
+    )
     return Append(inserted, receipt, conflicts)
 
 
+def _codes(name: str, *parts: Column, where: Column | None = None) -> dict[str, Column]:
+    """128 bits of hashes as two numbers, NULL where ``where`` does not hold."""
+    codes = (F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts))
+    return {n: c if where is None else F.when(where, c) for n, c in zip((name, name + "2"), codes)}
+
+
+def _packed(rows: DataFrame, new: int) -> DataFrame:
+    """What the append rules need of a row, as hashes: its id, body, lifecycle key, attempt and who made that."""
+    ident, life = F.col("identity"), lifecycle_key()
+    who = F.struct(ident["runtime_id"], ident["session_id"], ident["request_id"], F.col("source"))
+    tried = ident["attempt_id"].isNotNull()
+    columns = {
+        **_codes("_id", F.col("event_id")),
+        "_body": F.xxhash64("digest"),
+        **_codes("_life", life, where=life.isNotNull()),
+        **_codes("_attempt", F.col("source.id"), ident["attempt_id"], where=tried),
+        "_who": F.when(tried, F.xxhash64(F.to_json(who))),
+        "_new": F.lit(new),
+    }
+    return rows.select(*[c.alias(n) for n, c in columns.items()])
+
+
 # --- export and archive -------------------------------------------------------------------
 
 def manifest(stored: DataFrame, by: list[str]) -> DataFrame:
