@@ -8,6 +8,7 @@ from palimpsest import fixed
 from palimpsest.catalog.registry import query
 from palimpsest.functions.hashes import rollout_bucket
 from palimpsest.operators import evidence as ev
+from palimpsest.operators.ordered import once
 from palimpsest.plans.policy import Policy, recent_reductions, with_policy
 from palimpsest.session import cut
 from palimpsest.sources.events import event_diagnostics, events_tail, filter_events, read_events
@@ -198,14 +199,15 @@ def log_lines(spark, sf_dir):
             "outcome": F.when(order % 31 == 0, "maybe").otherwise(F.col("outcome")),
         }
     )
-    body = F.to_json(F.struct(*[c for c in marked.columns if c != "log_order"]))
-    return cut(marked.select(
-        F.when(order % 2 == 0, 1).otherwise(0).alias("generation"),
-        F.col("log_order").alias("line_number"),
-        F.when(order % 37 == 0, F.substring(body, 1, 60))
-        .when(order % 41 == 0, F.concat(body, F.repeat(F.lit(" "), 17_000)))
-        .otherwise(body).alias("raw"),
-    ), "log")
+    made = once(marked, "body", F.to_json(F.struct(*[c for c in marked.columns if c != "log_order"])))
+    body, line = F.col("body"), F.col("line_number")
+    named = made.select(F.when(order % 2 == 0, 1).otherwise(0).alias("generation"), order.alias("line_number"), "body")
+    raw = (
+        F.when(line % 37 == 0, F.substring(body, 1, 60))
+        .when(line % 41 == 0, F.concat(body, F.repeat(F.lit(" "), 17_000)))
+        .otherwise(body)
+    )
+    return once(named, "raw", raw).drop("body")
 
 
 REASONS_SQL = """
@@ -235,7 +237,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """From log text to agreed pairs."""
-    events = cut(read_events(log_lines(spark, sf_dir))[0], "events")
+    events = read_events(log_lines(spark, sf_dir))[0]
     return ev.qualified_reductions(events).reductions.groupBy("provider", "session_id").agg(
         F.count("*").alias("reductions")
     )

@@ -66,24 +66,22 @@ def diagnose(raw: DataFrame, schema_name: str = fixed.EVENT_SCHEMA) -> DataFrame
     ``raw`` has generation, line_number and raw.  Blank lines are left out.
     """
     big = F.octet_length("raw") > fixed.MAX_LOG_LINE_BYTES
-    kept = raw.filter(big | (F.trim(F.regexp_replace("raw", r"[\t\r\f\n]", " ")) != ""))
+    kept = raw.filter(big | F.col("raw").rlike(r"[^ \t\r\f\n]"))
     read = kept.select(
         "generation", "line_number", big.alias("big"),
+        # Of a line that is JSON its first character tells this; the schema of the whole value would be costly.
+        F.col("raw").rlike(r"^[ \t\r\n]*\{").alias("opens"),
         F.when(~big, F.try_parse_json("raw")).alias("json"),
         F.when(~big, F.from_json("raw", EVENT_TYPE)).alias("event"),
     )
     json = F.col("json")
-    # One table of parsed lines feeds the rows, the coverage and the histogram.
-    parsed = cut(
-        read.select(
-            "generation", "line_number", "big", "event",
-            json.isNotNull().alias("is_json"),
-            v.is_object(json).alias("is_object"),
-            v.string(json, "$.schema").alias("named"),
-            v.count(json, "$.ts").alias("ts"),
-            *[v.string(json, f"$.{n}").alias(n) for n in ("provider", "session_id", "action", "outcome")],
-        ),
-        "log",
+    parsed = read.select(
+        "generation", "line_number", "big", "event",
+        json.isNotNull().alias("is_json"),
+        (json.isNotNull() & F.col("opens")).alias("is_object"),
+        v.string(json, "$.schema").alias("named"),
+        v.count(json, "$.ts").alias("ts"),
+        *[v.string(json, f"$.{n}").alias(n) for n in ("provider", "session_id", "action", "outcome")],
     )
     known = F.col("provider").isin(fixed.BRANCH, fixed.WINDOW)
     session = F.col("session_id")
@@ -95,7 +93,9 @@ def diagnose(raw: DataFrame, schema_name: str = fixed.EVENT_SCHEMA) -> DataFrame
         .when(F.coalesce(~known, F.lit(False)), "unsupported_provider")
         .when(~F.coalesce(valid_event(schema_name, "event."), F.lit(False)), "invalid_fields")
     )
-    return parsed.select(
+    # One table of judged lines feeds the rows, the coverage and the histogram.
+    judged = cut(parsed.withColumn("reason", reason), "log")
+    return judged.select(
         "generation",
         "line_number",
         F.struct((-F.col("generation")).alias("g"), F.col("line_number").alias("l")).alias("log_order"),
@@ -105,7 +105,7 @@ def diagnose(raw: DataFrame, schema_name: str = fixed.EVENT_SCHEMA) -> DataFrame
         F.when(session.rlike(r"^[A-Za-z0-9._-]{1,256}$"), session).alias("session_id"),
         F.when(F.col("action").isin(fixed.EVENT_ACTIONS), F.col("action")).alias("action"),
         F.when(F.col("outcome").isin(fixed.EVENT_OUTCOMES), F.col("outcome")).alias("outcome"),
-        reason.alias("reason"),
+        "reason",
         (F.col("is_json") & F.col("is_object")).alias("readable"),
     )
 
