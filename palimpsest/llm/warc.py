@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ordered import once
+
 CRLF = "\r\n"
 VERSION = "WARC/1.0"
 
@@ -52,14 +54,22 @@ def _unescape(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text without comments, scripts, styles and tags; block elements end lines; runs of blanks are one."""
+    return _settled(_unmarked(html))
+
+
+def _unmarked(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for name in DROPPED:
         out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
     out = F.regexp_replace(out, rf"(?i)</?({BREAKING})\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"</?[A-Za-z!][^>]*>", "")
-    out = _unescape(out)
-    out = F.regexp_replace(out, r"[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    return F.regexp_replace(out, r"</?[A-Za-z!][^>]*>", "")
+
+
+def _settled(text: Column) -> Column:
+    out = _unescape(text)
+    # A blank that stands alone stays as it is: only what changes is matched.
+    out = F.regexp_replace(out, r"[ \t\r\f]{2,}|[\t\r\f]", " ")
+    return F.trim(F.regexp_replace(out, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def responses(
@@ -94,9 +104,10 @@ def derive(found: DataFrame, *, keep: list[str]) -> DataFrame:
         F.transform(lines, lambda s: F.concat(F.lit("source-header: "), s)),
         F.transform(links, lambda s: F.concat(F.lit("outlink: "), s)),
     )
-    base = found.select(
+    # References are resolved in a text without markup that is made once.
+    base = once(found, "__open", _unmarked(payload)).select(
         *keep, "record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), "date", headers.alias("source_headers"),
-        digest(payload).alias("source_digest"), F.concat(F.array_join(fields, CRLF), F.lit(CRLF)).alias("__meta"), plain_text(payload).alias("__text"),
+        digest(payload).alias("source_digest"), F.concat(F.array_join(fields, CRLF), F.lit(CRLF)).alias("__meta"), _settled(F.col("__open")).alias("__text"),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), F.col("__meta").alias("block")),
