@@ -124,8 +124,8 @@ def meet(rows: DataFrame, sketch, may_link: Callable) -> DataFrame:
 FILTER_BITS = 24
 
 
-def among(frame: DataFrame, wanted: DataFrame, id: str = "id") -> DataFrame:
-    """Rows of ``frame`` whose id may be wanted, without a shuffle of what they carry.
+def among(frame: DataFrame, wanted: DataFrame, then: Callable, schema: str, id: str = "id") -> DataFrame:
+    """What ``then`` makes of the rows of ``frame`` whose id may be wanted, in one pass and without a shuffle of what they carry.
 
     Wanted ids (column ``id``) set bits of a filter of fixed size, which is broadcast. Rows that pass without being
     wanted must fall in a later join; the more ids, the more pass, up to all.
@@ -138,7 +138,7 @@ def among(frame: DataFrame, wanted: DataFrame, id: str = "id") -> DataFrame:
         words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     shared = frame.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches):
+    def passing(batches):
         bits = shared.value
         for batch in batches:
             at = batch.column(batch.num_columns - 1).to_numpy()
@@ -146,7 +146,7 @@ def among(frame: DataFrame, wanted: DataFrame, id: str = "id") -> DataFrame:
             out = batch.filter(pa.array(passes.astype(bool)))
             yield pa.RecordBatch.from_arrays(out.columns[:-1], names=out.schema.names[:-1])
 
-    return frame.withColumn("__slot", slot).mapInArrow(run, frame.schema)
+    return frame.withColumn("__slot", slot).mapInArrow(lambda batches: then(passing(batches)), schema)
 
 
 PARITY_WORDS = 8
@@ -221,7 +221,8 @@ def linked_groups(rows: DataFrame, parities: DataFrame, least: int, may_link: Ca
         label = _joined(label, cut(verify(pairs), "links-pivot"))
         done = done.union(pairs)
     before = F.lag("token").over(Window.partitionBy("id").orderBy("at", "token"))
-    mixed = cut(_mixed(rows, label).join(parities.select("id", "bits"), "id").withColumn("before", before), "mixed")
+    # Bits join after the shuffle by id that the window needs, so they are not shuffled with each row.
+    mixed = cut(_mixed(rows, label).withColumn("before", before).join(parities.select("id", "bits"), "id"), "mixed")
     names = ("id", "n", "at", "of", "bits", "before")
     x = mixed.where("of <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in names])
     y = mixed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in names])

@@ -6,7 +6,8 @@ all documents, so its size does not grow. Two sets of n and m that share enough
 n - ceil(0.8 n) + 1 shingles of that order (prefix filter). Prefix shingles are the join keys, together with a size class, since
 linked sets differ by a quarter at most (length filter). A pair is dropped if too little is left behind the shared shingle
 (positional filter), or if the counts of shingles by hash range, compared before the sets are, rule it out
-(suffix filter). A pair is verified once, on whole sets.
+(suffix filter). The parity bits of ``graph`` say nothing of long sets, so these have more of them, and a pair of long sets meets by its bits before
+the sets are sent. A pair is verified once, on whole sets.
 
 Shingles that occur once in all prefixes are dropped in a pass over sorted rows (``graph.meet``), which deals frequent ones
 over several partitions.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.graph import SKETCH_BITS, among, linked_groups, meet, parity, place
+from palimpsest.llm.graph import PARITY_WORDS, SKETCH_BITS, among, linked_groups, meet, parity, place
 from palimpsest.llm.text import BLANKS, Words, chunks, mix, pack, shingle_sets, utf8
 from palimpsest.session import cut
 
@@ -39,17 +40,33 @@ def _digest(found: np.ndarray) -> bytes:
         return np.array([mix(found).sum(dtype=np.uint64), mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes()
 
 
+def wide_parity(found: np.ndarray) -> bytes | None:
+    """As ``parity``, with a bit or more for each member; null where 512 bits are enough."""
+    if len(found) <= 64 * PARITY_WORDS:
+        return None
+    width = 1 << (len(found) - 1).bit_length()
+    at = (found >> np.uint64(20)) & np.uint64(width - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_differ(x: bytes, y: bytes) -> int:
+    """How many members two sets differ in, at least; the longer parity is folded to the length of the shorter."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def set_digests(docs: DataFrame, *, id: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, digest, bits) of each document's set, and the sketch of how many documents hold the shingles of each counter."""
+    """(id, n, digest, bits, wide) of each document's set, and the sketch of how many documents hold the shingles of each counter."""
 
     def run(batches):
         seen, since = np.zeros(SKETCH, np.int64), 0
-        names = ["id", "n", "digest", "bits", "place", "seen"]
+        names = ["id", "n", "digest", "bits", "wide", "place", "seen"]
 
         def flush():
             at = np.flatnonzero(seen)
             none = lambda kind: pa.nulls(len(at), kind)
-            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.list_(pa.int64())), pa.array(at, pa.int32()), pa.array(seen[at])], names=names)
+            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.list_(pa.int64())), none(pa.binary()), pa.array(at, pa.int32()), pa.array(seen[at])], names=names)
 
         for batch in chunks(batches, "text"):
             sets = shingle_sets(Words(*utf8(batch.column(1)), BLANKS), WORDS)
@@ -58,8 +75,9 @@ def set_digests(docs: DataFrame, *, id: str, text: str) -> tuple[DataFrame, np.n
             since += len(joined)
             n = pa.array([len(s) for s in sets], pa.int32())
             none = lambda kind: pa.nulls(len(sets), kind)  # noqa: E731, B023
+            wide = pa.array([wide_parity(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), n, pa.array([_digest(s) for s in sets], pa.binary()), pack([parity(s) for s in sets], pa.int64()), none(pa.int32()), none(pa.int64())], names=names
+                [batch.column(0), n, pa.array([_digest(s) for s in sets], pa.binary()), pack([parity(s) for s in sets], pa.int64()), wide, none(pa.int32()), none(pa.int64())], names=names
             )
             if since > FLUSH:
                 yield flush()
@@ -68,11 +86,11 @@ def set_digests(docs: DataFrame, *, id: str, text: str) -> tuple[DataFrame, np.n
             yield flush()
 
     found = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    both = cut(found.mapInArrow(run, "id long, n int, digest binary, bits array<long>, place int, seen long"), "sets")
+    both = cut(found.mapInArrow(run, "id long, n int, digest binary, bits array<long>, wide binary, place int, seen long"), "sets")
     sketch = np.zeros(SKETCH, np.int64)
     for r in both.where("place is not null").groupBy("place").agg(F.sum("seen").alias("seen")).toArrow().to_batches():
         sketch[r.column(0).to_numpy()] = r.column(1).to_numpy()
-    return both.where("place is null").select("id", "n", "digest", "bits"), sketch
+    return both.where("place is null").select("id", "n", "digest", "bits", "wide"), sketch
 
 
 def prefix_length(n: int) -> int:
@@ -102,15 +120,28 @@ def _least_left(n, at, m, of):
     return ((n - at) * 180 >= (n + m) * 80) & ((m - of) * 180 >= (n + m) * 80)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(batches):
     """(id, shingles) with sorted 64-bit shingles, packed."""
+    for batch in chunks(batches, "text"):
+        sets = shingle_sets(Words(*utf8(batch.column(1)), BLANKS), WORDS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    def run(batches):
-        for batch in chunks(batches, "text"):
-            sets = shingle_sets(Words(*utf8(batch.column(1)), BLANKS), WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+def _ruled_out(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """Of (a, b), the pairs of long sets whose sizes and wide parities allow no link."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            differ = [wide_differ(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(np.array(differ, np.int64) * 180 > (n + m) * 20))
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = wide.join(wanted, "id", "left_semi")
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(
+        held.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b"
+    )
+    return both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
@@ -144,8 +175,9 @@ def similar_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
     shared = cut(meet(rows, sketch, _least_left), "shared")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.join(_ruled_out(pairs, digests.where("wide is not null").select("id", "n", "wide")), ["a", "b"], "left_anti"), "pairs-open")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = cut(_sets(among(frame, wanted)), "shingles")
+        sets = cut(among(frame, wanted, _sets, "id long, shingles binary"), "shingles")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
         )

@@ -117,13 +117,10 @@ def _paragraphs(frame: DataFrame) -> DataFrame:
     return frame.mapInArrow(run, "doc long, place int, start int, end int, id long, n int, bands array<long>, bits array<long>")
 
 
-def _sets(frame: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in chunks(batches, "text"):
-            lines = Lines(*utf8(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(lines.ids), pa.array([s.tobytes() for s in lines.sets()], pa.binary())], names=["id", "shingles"])
-
-    return frame.mapInArrow(run, "id long, shingles binary")
+def _sets(batches):
+    for batch in chunks(batches, "text"):
+        lines = Lines(*utf8(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(lines.ids), pa.array([s.tobytes() for s in lines.sets()], pa.binary())], names=["id", "shingles"])
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -160,7 +157,7 @@ def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         where = classes.join(wanted, "id", "left_semi").select(F.col("doc").alias("id")).distinct()
-        sets = _sets(among(frame, where, "doc")).join(wanted, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+        sets = among(frame, where, _sets, "id long, shingles binary", "doc").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
         sets = cut(sets, "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"

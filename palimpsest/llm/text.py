@@ -16,7 +16,8 @@ from pyspark.sql import SparkSession
 
 from palimpsest.session import tune
 
-CHUNK_BYTES = 1 << 20
+#: Just under a power of two, as tables of powers, which a worker keeps, are as long as the next one.
+CHUNK_BYTES = 250_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _WORD_BASE = _U(0xD6E8FEB86659FD93)
