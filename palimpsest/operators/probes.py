@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,12 @@ from palimpsest.operators.ordered import newest
 from palimpsest.session import cut
 
 KINDS = fixed.PROBE_KINDS
+LINES_AT_ONCE = 500
 _PATH = re.compile(r"[A-Za-z0-9_\-./~+@]+")
 _NAME = re.compile(r"[A-Za-z0-9_\-.]+")
-_WORD = re.compile(r"[A-Za-z0-9_]+")
+_WORD = re.compile(rf"[A-Za-z0-9_]{{{fixed.MIN_IDENTIFIER_BYTES},}}")  # shorter runs are passed over whole
+_DOTTED = re.compile(r"\.[A-Za-z0-9]")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _ARGS = re.compile(r"[ A-Za-z0-9_\-./~+=:%@]*")
 _EXT = re.compile(r"^[A-Za-z0-9].*\.([A-Za-z0-9]{1,8})$", re.S)
 _EXTENSIONS = frozenset(fixed.PROBE_FILE_EXTENSIONS)
@@ -41,12 +45,12 @@ def _starts(line: str, key: str) -> Iterator[int]:
 
 
 def _lower_ascii(text: str) -> str:
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    return text.translate(_LOWER)
 
 
 def _of_line(line: str) -> Iterator[tuple[int, str]]:
     """Candidate probes of a line as (kind number, text), in the order they are looked for."""
-    for m in _PATH.finditer(line):
+    for m in _PATH.finditer(line) if "/" in line else ():
         token = m.group().rstrip(".")
         if len(token) >= 3 and "/" in token:
             anchored = token.startswith(("/", "~/", "./"))
@@ -70,7 +74,7 @@ def _of_line(line: str) -> Iterator[tuple[int, str]]:
     for key in fixed.PROBE_ERRORS:
         for at in _starts(line, key):
             yield 3, _clip(line[at : at + fixed.MAX_PROBE_BYTES]).rstrip(" .")
-    for m in _NAME.finditer(line):
+    for m in _NAME.finditer(line) if _DOTTED.search(line) else ():
         token = m.group().rstrip(".")
         if _ends(token, True):
             yield 4, token
@@ -78,33 +82,35 @@ def _of_line(line: str) -> Iterator[tuple[int, str]]:
         token = m.group()
         mixed = "_" in token or (token != token.upper() and token != token.lower())
         quoted = line[m.start() - 1 : m.start()] == '"' and line[m.end() : m.end() + 1] == '"'
-        if len(token) >= fixed.MIN_IDENTIFIER_BYTES and not token[0].isdigit() and mixed and not quoted:
+        if not token[0].isdigit() and mixed and not quoted:
             yield 5, token
 
 
 def probe_candidates(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Every candidate probe of every line: keys, line_index, kind number, position, text.
 
-    Reads whole lines, in Arrow batches.
+    Reads whole lines, in Arrow batches of which a few lines at a time become Python objects.
     """
     shape = ", ".join(f"{k} string" for k in keys) + ", line_index long, kind int, position int, text string"
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                head = tuple(getattr(row, k) for k in keys)
-                at = [0] * len(KINDS)
-                for kind, text in _of_line(row.text or ""):
-                    text = _clip(text)
-                    if len(text.encode()) >= 3:
-                        rows.append((*head, row.line_index, kind, at[kind], text))
-                        at[kind] += 1
-            yield pd.DataFrame(rows, columns=[*keys, "line_index", "kind", "position", "text"])
-
-    return lines.select(*[F.col(k).cast("string").alias(k) for k in keys], "line_index", "text").mapInPandas(
-        scan, shape
-    )
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, LINES_AT_ONCE):
+                rows = []
+                for *head, line_index, line in zip(*(c.to_pylist() for c in batch.slice(start, LINES_AT_ONCE).columns)):
+                    at = [0] * len(KINDS)
+                    for kind, text in _of_line(line or ""):
+                        text = _clip(text)
+                        if len(text.encode()) >= 3:
+                            rows.append((*head, line_index, kind, at[kind], text))
+                            at[kind] += 1
+                columns = zip(*rows) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    names = [*keys, "line_index", "kind", "position", "text"]
+    kinds = [*[pa.string()] * len(keys), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+    read = [*[F.col(k).cast("string").alias(k) for k in keys], F.col("line_index").cast("long").alias("line_index"), "text"]
+    return lines.select(*read).mapInArrow(scan, shape)
 
 
 def _pick(keys: list[str]):
