@@ -9,6 +9,7 @@ from palimpsest.catalog.registry import query
 from palimpsest.functions.hashes import rollout_bucket
 from palimpsest.operators import evidence as ev
 from palimpsest.operators.ordered import once
+from palimpsest.operators.totals import whole_sums
 from palimpsest.plans.policy import Policy, recent_reductions, with_policy
 from palimpsest.session import cut
 from palimpsest.sources.events import event_diagnostics, events_tail, filter_events, read_events
@@ -123,9 +124,7 @@ SELECT s.provider, s.session_id, least(1707000000000 - (user_id * 1000 * 1000),
 )
 def _(spark, sf_dir):
     events = compaction_events(spark, sf_dir)
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.round(F.sum("value")).cast("long").alias("v")
-    )
+    users = whole_sums(table(spark, sf_dir, "events"), ["user_id"], "value", "event_id", "v")
     sessions = users.select(
         F.when(F.col("user_id") % 2 == 0, fixed.BRANCH).otherwise(fixed.WINDOW).alias("provider"),
         F.col("user_id").cast("string").alias("session_id"),
@@ -164,9 +163,7 @@ SELECT user_id, CASE WHEN ctx < 1500 THEN 'none' WHEN live THEN 'provider_compac
 )
 def _(spark, sf_dir):
     events = compaction_events(spark, sf_dir)
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.round(F.sum("value")).cast("long").alias("context_tokens")
-    )
+    users = whole_sums(table(spark, sf_dir, "events"), ["user_id"], "value", "event_id", "context_tokens")
     arms = events.select(
         F.col("session_id").cast("long").alias("user_id"), "provider",
         (F.col("decision_cohort") != "control").alias("treatment"),
